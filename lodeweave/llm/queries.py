@@ -4,20 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import exact_dedup, simhash
+from lodeweave.llm import chat, decontaminate, exact_dedup, language, quality, sentencepiece_bpe, sharding, simhash, toxicity, warc
 from lodeweave.llm.common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_conversations(turns))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op3_exact_dedup": op3_exact_dedup, "op8_simhash_dedup": op8_simhash_dedup}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_exact_dedup, op4_chat_format, op5_toxicity, op6_quality, op7_language_id, op8_simhash_dedup, op9_warc, op10_sharding)}
 
 
 OP3_SQL = r"""
@@ -26,6 +67,37 @@ w AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w
 """
 
+OP4_SQL = r"""
+WITH own(conv_id, turn, role, text) AS (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM own),
+e AS (SELECT *, replace(replace(replace(replace(text, '\', '\b'), '###', '\h\h\h'), '</turn>', '\l/turn>'), '</part>', '\l/part>') AS coded,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(length(coded) + CASE WHEN before IS NULL THEN 6 + length(role) + 8 WHEN before = role THEN 7 ELSE 6 + length(role) + 8 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f
+"""
+
+OP10_SQL = f"""
+WITH r AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS hash FROM documents),
+x AS (SELECT depth, hash >> ({sharding.HASH_BITS} - depth)::INT AS bucket, n_bytes FROM r, range(0, 40) AS t(depth)),
+s AS (SELECT depth, bucket, sum(n_bytes)::BIGINT AS shard_bytes FROM x GROUP BY ALL),
+l AS (SELECT c.* FROM s AS c LEFT JOIN s AS p ON p.depth = c.depth - 1 AND p.bucket = c.bucket >> 1
+  WHERE c.shard_bytes <= {sharding.SHARD_BYTES} AND (c.depth = 0 OR p.shard_bytes > {sharding.SHARD_BYTES}))
+SELECT doc_id, n_bytes, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(l.bucket), l.depth::INT, '0') END AS shard, l.depth::INT AS depth, l.shard_bytes
+FROM r JOIN l ON hash >> ({sharding.HASH_BITS} - l.depth)::INT = l.bucket
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_warc": OP9_SQL, "op10_sharding": OP10_SQL}
