@@ -83,6 +83,16 @@ class _Group:
         return [(int(i), int(b)) for i, b in zip(some, bits) if b <= radius]
 
 
+def _codes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit code for each run of `size` word ids (or each row of a table of runs)."""
+    runs = ids.T if ids.ndim == 2 else [ids[k : len(ids) - size + 1 + k] for k in range(size)]
+    out = np.zeros(len(runs[0]), np.uint64)
+    for part in runs:
+        out = (out ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Items:
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
@@ -97,6 +107,7 @@ class Items:
             group.items.append((item_id, shingles(words, size)))
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             self.known[size].update(tuple(ids[i : i + size]) for i in range(len(ids) - size + 1))
+        self.codes = {size: np.unique(_codes(np.array(sorted(known), np.int64), size)) for size, known in self.known.items()}
         self.groups = sorted(groups.values(), key=lambda g: g.words)
         for g in self.groups:
             g.close()
@@ -106,25 +117,24 @@ class Items:
         n = len(ids) - size + 1
         hit = np.zeros(max(0, n), bool)
         if n > 0:
-            runs = np.concatenate([[0], np.cumsum(ids >= 0)])
-            known = self.known[size]
-            for p in np.flatnonzero(runs[size:] - runs[:-size] == size).tolist():
-                hit[p] = tuple(ids[p : p + size].tolist()) in known
+            codes = _codes(ids, size)
+            at = np.minimum(np.searchsorted(self.codes[size], codes), len(self.codes[size]) - 1)
+            for p in np.flatnonzero(self.codes[size][at] == codes).tolist():  # the code may lie, the words don't
+                hit[p] = tuple(ids[p : p + size].tolist()) in self.known[size]
         return hit
 
     def matches(self, text: str | None, least: float = SIMILARITY, radius: int = RADIUS) -> list[tuple[int, int, int, float, int]]:
         """(item_id, first word, words, similarity, differing bits) of the best window for each item found."""
         words = words_of(text)
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-        hits = {size: self._hits(ids, size) for size in self.known}
+        sums = {size: np.concatenate([[0], np.cumsum(self._hits(ids, size))]) for size in self.known}
         best: dict[int, tuple[float, int, int, int]] = {}
         parts: dict[int, list[str]] = {}
         for g in self.groups:
-            hit = hits[g.size]
-            if not hit.any():
+            runs = sums[g.size]
+            if runs[-1] < least * g.n - 1e-9:  # also where a text has no shingle of this size
                 continue
-            n = min(g.n, len(hit))
-            runs = np.concatenate([[0], np.cumsum(hit)])
+            n = min(g.n, len(runs) - 1)
             for s in np.flatnonzero(runs[n:] - runs[:-n] >= least * g.n - 1e-9).tolist():
                 if g.size not in parts:
                     parts[g.size] = shingles(words, g.size)

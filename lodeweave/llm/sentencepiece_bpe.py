@@ -30,6 +30,7 @@ LONGEST_REMEMBERED = 64
 #: Piece types and field numbers of the model's protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
+UNKNOWN_SHOWN = " \u2047 "
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -90,7 +91,9 @@ class Model:
                 self.byte_of[i] = int(t[3:5], 16)
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("a piece has the word mark inside")
-        self.shown = ["" if kinds[i] in (CONTROL, UNKNOWN) else t.replace(MARK, " ") for i, t in enumerate(texts)]
+        self.shown = [{CONTROL: "", UNKNOWN: UNKNOWN_SHOWN}.get(kinds[i], t.replace(MARK, " ")) for i, t in enumerate(texts)]
+        self.marked = [kinds[i] == NORMAL and t.startswith(MARK) for i, t in enumerate(texts)]
+        self.control = {i for i, k in enumerate(kinds) if k == CONTROL}
         # Order of merges: higher score first. Characters are there from the start.
         order = sorted((i for t, i in self.ids.items() if len(t) > 1), key=lambda i: (-scores[i], i))
         self.rank = [0] * len(texts)
@@ -244,7 +247,8 @@ class Model:
             if raw:
                 parts.append(_lenient(bytes(raw)))
             text = "".join(parts)
-        return text[1:] if self.prefix and text[:1] == " " else text
+        first = next((i for i in ids if i not in self.control), -1)
+        return text[1:] if self.prefix and first >= 0 and self.marked[first] else text
 
 
 #: A word with the marks before it; a line end is a word of its own.
