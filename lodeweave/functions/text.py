@@ -111,7 +111,7 @@ def append_reason(have: Column, more: Column) -> Column:
 
 def normal_module(path: Column) -> Column:
     """A path without a code extension and a final /index."""
-    return F.regexp_replace(F.regexp_replace(path, r"(?i)\.(ts|tsx|js|jsx|mjs|py|md|json)\z", ""), r"/index\z", "")
+    return F.regexp_replace(F.regexp_replace(path, r"(?i)\.(ts|tsx|js|jsx|mjs|py|md|json)\z", ""), r"(?i)/index\z", "")
 
 
 def joined_path(source: Column, module: Column) -> Column:
@@ -136,20 +136,17 @@ def prompt_id(prompt: Column) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    """A double with one decimal, its exact value rounded half away from zero.
+    """A double with one decimal: its exact binary value, rounded half away from zero.
 
-    Casting to a wide decimal goes by the shortest text of the double (0.15), but its exact value
-    may lie below (0.1499...). The nearest text with 25 decimals shows on which side it lies.
+    Casting to decimal would round the shortest text instead (0.15 is a little less than 0.15). The
+    fraction times 2^60 is a whole number for every fraction that can reach 0.05, so tenths are exact.
     """
-    exact = F.format_string("%s", F.lit("")) if value is None else _exact_decimal(value)
-    return F.format_number(exact, "0.0")
-
-
-def _exact_decimal(value: Column) -> Column:
-    # value * 2^40 is a whole number for what scores use of a double; dividing in decimals keeps it exact to 25 digits.
-    scaled = F.round(value * float(1 << 20) * float(1 << 20)).cast("decimal(28,0)")
-    tenth = (scaled * F.lit(10).cast("decimal(2,0)") / F.lit(1 << 40).cast("decimal(14,0)")).cast("decimal(38,12)")
-    return (F.round(tenth, 0) / 10).cast("decimal(30,1)")
+    size = F.abs(value)
+    whole = F.floor(size)
+    fraction = ((size - whole) * float(1 << 60)).cast("long").cast("decimal(20,0)")
+    tenths = F.call_function("div", fraction * F.lit(10).cast("decimal(2,0)") + F.lit(1 << 59).cast("decimal(20,0)"), F.lit(1 << 60).cast("decimal(20,0)"))
+    all_tenths = whole * 10 + tenths
+    return F.concat(F.when(value < 0, "-").otherwise(""), F.floor(all_tenths / 10).cast("string"), F.lit("."), (all_tenths % 10).cast("string"))
 
 
 def bucket(role: Column) -> Column:
