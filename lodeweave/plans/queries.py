@@ -16,8 +16,6 @@ from lodeweave.functions.parse import module_symbol
 from lodeweave.operators import compile as C
 from lodeweave.operators import graph, index, pack, retrieve, sessions
 
-CUT = "2024-01-16 00:00:00"
-
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -173,7 +171,7 @@ def import_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     events = _table(spark, d, "events")
-    state = lambda e: e.groupBy(F.lit("users").alias("repo_id"), F.col("user_id").cast("string").alias("path")).agg(F.count(F.lit(1)).alias("size"), (F.max(F.unix_micros("ts")) / 1000).alias("modified_at_ms"))
+    state = lambda e: e.groupBy(F.lit("users").alias("repo_id"), F.col("user_id").cast("string").alias("path")).agg(F.count(F.lit(1)).alias("size"), (F.max(F.unix_micros(F.col("ts").cast("timestamp"))) / 1000).alias("modified_at_ms"))
     before = events.filter(F.col("event_id") % 3 != 0)
     return index.snapshot_changes(state(before), state(events.filter("event_type <> 'error'"))).drop("repo_id")
 
