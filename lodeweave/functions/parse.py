@@ -61,7 +61,7 @@ def is_script(path: Column) -> Column:
     return T.extension(path).isin(".ts", ".tsx", ".js", ".jsx", ".mjs")
 
 
-_scripts = F.pandas_udf(parse_scripts, "imports array<string>, symbols array<struct<kind:string,name:string,exported:boolean>>, refs array<string>, calls array<string>, bindings array<struct<local:string,source:string>>")
+_SCRIPT = "imports array<string>, symbols array<struct<kind:string,name:string,exported:boolean>>, refs array<string>, calls array<string>, bindings array<struct<local:string,source:string>>"
 
 
 def parsed(path: Column, content: Column) -> Column:
@@ -69,7 +69,7 @@ def parsed(path: Column, content: Column) -> Column:
     text = F.coalesce(content, F.lit(""))
     script = is_script(path)
     code = F.when(script, text)
-    s = _scripts(path, code)
+    s = F.pandas_udf(parse_scripts, _SCRIPT)(path, code)
     matches = F.flatten(F.array(*[F.transform(_all(text, p), lambda n: F.struct(F.lit(k).alias("kind"), n.alias("name"), F.lit(e).alias("exported"))) for k, e, p in SYMBOLS]))
     imports = F.filter(F.transform(F.flatten(F.array(*[_all(text, p) for p in IMPORTS])), T.trimmed), lambda x: x != "")
     either = lambda a, b: F.when(script, a).otherwise(b)

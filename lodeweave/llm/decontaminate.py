@@ -7,7 +7,7 @@ each byte in a table of two-bit neighbourhoods finds all of them. The exact simi
 the sum of minima over the sum of maxima of the shingles' numbers of occurrences (five words, 0.8).
 
 Windows that can't reach the similarity are not fingerprinted at all: the sum of minima is at most
-the number of the window's shingles that occur in some item, and must be 0.8 of the item's shingles.
+the number of the window's shingles that occur in some item of that length, and must be 0.8 of the item's shingles.
 With equal sizes a similarity of 0.8 turns about ten bits (sd 3), so 20 covers it; what the
 fingerprint of a pair at 0.8 or more lies beyond, the method doesn't see.
 
@@ -97,7 +97,7 @@ class Items:
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
         groups: dict[int, _Group] = {}
-        self.known: dict[int, set[tuple[int, ...]]] = defaultdict(set)
+        self.known: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))  # shingles to lengths of items
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -106,35 +106,40 @@ class Items:
             group = groups.setdefault(len(words), _Group(len(words), size))
             group.items.append((item_id, shingles(words, size)))
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            self.known[size].update(tuple(ids[i : i + size]) for i in range(len(ids) - size + 1))
+            for i in range(len(ids) - size + 1):
+                self.known[size][tuple(ids[i : i + size])].add(len(words))
+        self.known = {size: dict(known) for size, known in self.known.items()}
         self.codes = {size: np.unique(_codes(np.array(sorted(known), np.int64), size)) for size, known in self.known.items()}
         self.groups = sorted(groups.values(), key=lambda g: g.words)
         for g in self.groups:
             g.close()
 
-    def _hits(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """Which positions start a shingle that occurs in some item."""
-        n = len(ids) - size + 1
-        hit = np.zeros(max(0, n), bool)
-        if n > 0:
+    def _hits(self, ids: np.ndarray, size: int) -> dict[int, list[int]]:
+        """For each length of items, the positions that start a shingle of such an item."""
+        found: dict[int, list[int]] = defaultdict(list)
+        if len(ids) >= size:
             codes = _codes(ids, size)
             at = np.minimum(np.searchsorted(self.codes[size], codes), len(self.codes[size]) - 1)
             for p in np.flatnonzero(self.codes[size][at] == codes).tolist():  # the code may lie, the words don't
-                hit[p] = tuple(ids[p : p + size].tolist()) in self.known[size]
-        return hit
+                for words in self.known[size].get(tuple(ids[p : p + size].tolist()), ()):
+                    found[words].append(p)
+        return found
 
     def matches(self, text: str | None, least: float = SIMILARITY, radius: int = RADIUS) -> list[tuple[int, int, int, float, int]]:
         """(item_id, first word, words, similarity, differing bits) of the best window for each item found."""
         words = words_of(text)
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-        sums = {size: np.concatenate([[0], np.cumsum(self._hits(ids, size))]) for size in self.known}
+        hits = {size: self._hits(ids, size) for size in self.known}
         best: dict[int, tuple[float, int, int, int]] = {}
         parts: dict[int, list[str]] = {}
         for g in self.groups:
-            runs = sums[g.size]
-            if runs[-1] < least * g.n - 1e-9:  # also where a text has no shingle of this size
+            own_hits = hits[g.size].get(g.words, ())
+            if len(own_hits) < least * g.n - 1e-9 or not own_hits:
                 continue
-            n = min(g.n, len(runs) - 1)
+            hit = np.zeros(len(ids) - g.size + 1, np.int64)
+            hit[own_hits] = 1
+            n = min(g.n, len(hit))
+            runs = np.concatenate([[0], np.cumsum(hit)])
             for s in np.flatnonzero(runs[n:] - runs[:-n] >= least * g.n - 1e-9).tolist():
                 if g.size not in parts:
                     parts[g.size] = shingles(words, g.size)
