@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.sources.shared import shared_dir, staged
+
+__all__ = ["crc_bucket", "keep_ids", "shared_dir", "small_enough", "spread", "staged", "table", "text_of"]
+
 #: A side is broadcast when rows times bytes a row stay under this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -17,27 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df once to a new table in the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs a re-read, and values that depend on how tasks were
-    dealt (partition ids) stay what they were. Parquet keeps the table small.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_enough(rows: int, bytes_a_row: int) -> bool:
     return rows * bytes_a_row <= BROADCAST_BYTES
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+REMEMBERED_PAIRS = 250_000
 LONGEST_REMEMBERED = 64
 #: Piece types and field numbers of the model's protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -113,8 +115,8 @@ class Model:
         usable = {texts[i]: i for i in usable}
         self.shorter = {i: next((usable[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in usable), -1) for t, i in usable.items()}
         self.compatible: dict[int, bool] = {}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+        self.old: dict[str, bytes] = {}
 
     def _last_merge(self, text: str) -> tuple[int, int] | None:
         """The two pieces whose merge makes this whole text, or None if merging ends otherwise."""
@@ -172,7 +174,7 @@ class Model:
                 pair = out[-1] << 32 | piece
                 good = compatible.get(pair)
                 if good is None:
-                    if len(compatible) > 1_000_000:
+                    if len(compatible) > REMEMBERED_PAIRS:
                         compatible.clear()
                     good = compatible[pair] = self.fits(out[-1], piece)
             if good:
@@ -204,10 +206,11 @@ class Model:
                 at = end
         return out
 
-    def word(self, text: str) -> tuple[int, ...]:
+    def word(self, text: str) -> bytes:
         found = self.old.get(text)
         if found is None:
-            found = tuple(self.encode_word(text))
+            own = self.encode_word(text)
+            found = struct.pack(f"<{len(own)}I", *own)
             if len(text) > LONGEST_REMEMBERED:
                 return found
         if len(self.young) >= REMEMBERED:
@@ -215,11 +218,11 @@ class Model:
         self.young[text] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        """All ids, begin and end included."""
-        out = [self.bos]
+    def encode_raw(self, text: str) -> bytes:
+        """All ids, begin and end included, as little-endian 32-bit numbers."""
+        out = [struct.pack("<I", self.bos)]
         if text:
-            young, word, add = self.young, self.word, out.extend
+            young, word, add = self.young, self.word, out.append
             marked = (MARK + text if self.prefix else text).replace(" ", MARK)
             for w in _WORDS.findall(marked):
                 found = young.get(w)
@@ -227,8 +230,11 @@ class Model:
                     found = word(w)
                     young = self.young
                 add(found)
-        out.append(self.eos)
-        return out
+        out.append(struct.pack("<I", self.eos))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_raw(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         shown = self.shown
@@ -291,13 +297,13 @@ def _coder(proto, with_ids: bool):
         for batch in batches:
             counts, ids_sha, text_sha, lists = [], [], [], []
             for x in batch.column("text"):
-                ids = model.encode(x.as_py() or "")
-                raw = np.array(ids, "<u4")
+                raw = model.encode_raw(x.as_py() or "")
+                ids = np.frombuffer(raw, "<u4")
                 counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(raw.tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+                ids_sha.append(hashlib.sha256(raw).hexdigest())
+                text_sha.append(hashlib.sha256(model.decode(ids.tolist()).encode("utf-8", "surrogatepass")).hexdigest())
                 if with_ids:
-                    lists.append(raw.astype(np.int32))
+                    lists.append(ids.astype(np.int32))
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

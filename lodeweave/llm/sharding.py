@@ -5,17 +5,19 @@ for fine cells of the hash; every depth of the directory is a roll-up of those c
 shard if its bytes fit and its parent's don't: only oversized buckets split on another bit. Cells
 that are oversized themselves are counted again with more bits, from their rows alone.
 
-A shard's id is its bits as text ("" is the whole table). Defined cases: a null text has no bytes; a null key is a
-key of its own; rows that share a key share a hash, so no bit splits them: such a shard is cut by
-the order of (bytes, row) into parts that fit, named bits#part; a single row over the limit is a
-shard (or part) alone; an empty table gives no rows; further columns are ignored.
+A shard's id is its bits as text ("" is the whole table). Defined cases: a null text has no bytes; a
+null key is a key of its own; rows that share a key share a hash, so no bit of it splits them: where
+such rows are over the limit, a directory of their own over a hash of the row splits them in the
+same way (named key bits#row bits), whatever share of the table they are; a single row over the
+limit is a shard alone; repeated rows are rows like others; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm.common import small_enough, staged
@@ -41,55 +43,60 @@ def _bits_text(prefix: Column, depth: Column) -> Column:
 
 
 def _leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """cell, shard, depth, shard_bytes for cells (prefixes of `high` bits) in buckets of low..high bits that fit."""
-    at = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+    """space, depth, bucket, shard_bytes: buckets of low..high bits that fit, of cells (prefixes of `high` bits), and whose parent doesn't."""
+    at = cells.select("space", "cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
     bucket = F.call_function("shiftright", F.col("cell"), F.lit(high) - F.col("depth"))
-    sums = at.groupBy("depth", bucket.alias("bucket")).agg(F.sum("bytes").alias("shard_bytes"))
-    parent = sums.filter(F.col("shard_bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("bucket").alias("over"))
+    sums = at.groupBy("space", "depth", bucket.alias("bucket")).agg(F.sum("bytes").alias("shard_bytes"))
+    parent = sums.filter(F.col("shard_bytes") > limit).select(F.col("space").alias("in"), (F.col("depth") + 1).alias("under"), F.col("bucket").alias("over"))
     here = sums.filter(F.col("shard_bytes") <= limit)
-    split = here.filter(F.col("depth") > low).join(parent, (here["depth"] == parent["depth"]) & (F.shiftright("bucket", 1) == parent["over"]), "left_semi")
-    return here.filter(F.col("depth") == low).unionByName(split).select("depth", "bucket", "shard_bytes")
+    inside = (here["space"] == parent["in"]) & (here["depth"] == parent["under"]) & (F.shiftright("bucket", 1) == parent["over"])
+    split = here.filter(F.col("depth") > low).join(parent, inside, "left_semi")
+    return here.filter(F.col("depth") == low).unionByName(split).select("space", "depth", "bucket", "shard_bytes")
 
 
 def directory(sizes: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
-    """depth, bucket, shard_bytes: the shards of sizes(hash, bytes). Depth 60 may hold shards over the limit."""
-    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    low, high = 0, min(HASH_BITS, max(0, math.ceil(math.log2(max(1.0, total / limit)))) + int(math.log2(CELLS)))
+    """space, depth, bucket, shard_bytes: the shards of sizes(space, hash, bytes), each space apart. Depth 60 may hold shards over the limit."""
+    most = sizes.groupBy("space").agg(F.sum("bytes").alias("bytes")).agg(F.coalesce(F.max("bytes"), F.lit(0))).first()[0]
+    low, high = 0, min(HASH_BITS, max(0, math.ceil(math.log2(max(1.0, most / limit)))) + int(math.log2(CELLS)))
     found, rows = None, sizes
     while True:
-        cells = staged(rows.groupBy(_prefix(high).alias("cell")).agg(F.sum("bytes").alias("bytes")))
+        cells = staged(rows.groupBy("space", _prefix(high).alias("cell")).agg(F.sum("bytes").alias("bytes")))
         leaves = _leaves(cells, low, high, limit)
-        over = cells.filter(F.col("bytes") > limit).select("cell", "bytes")
+        over = cells.filter(F.col("bytes") > limit).select("space", "cell", "bytes")
         more = not over.isEmpty()
         if more and high == HASH_BITS:
-            leaves = leaves.unionByName(over.select(F.lit(high).alias("depth"), F.col("cell").alias("bucket"), F.col("bytes").alias("shard_bytes")))
+            leaves = leaves.unionByName(over.select("space", F.lit(high).alias("depth"), F.col("cell").alias("bucket"), F.col("bytes").alias("shard_bytes")))
             more = False
         found = leaves if found is None else found.unionByName(leaves)
         if not more:
             return staged(found)
-        rows = staged(rows.withColumn("cell", _prefix(high)).join(over.select("cell"), "cell", "left_semi").drop("cell"))
+        rows = staged(rows.withColumn("cell", _prefix(high)).join(over.select("space", "cell"), ["space", "cell"], "left_semi").drop("cell"))
         low, high = high + 1, min(HASH_BITS, high + STEP)
 
 
-def assign_shards(rows: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
-    """key, n_bytes, shard, depth, shard_bytes: the shard of every row."""
-    sizes = staged(rows.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), key_hash(F.col(key)).alias("hash")))
-    found = directory(sizes, limit)
+def _placed(sizes: DataFrame, found: DataFrame) -> DataFrame:
+    """sizes with its bits, depth and shard_bytes in the directory: a row's shard is the only one of its hash's prefixes that is there."""
     counts = found.groupBy("depth").count().collect()  # at most 61 rows
-    depths = [r.depth for r in counts]
-    if small_enough(sum(r["count"] for r in counts), 24):
+    depths = sorted(r.depth for r in counts)
+    if small_enough(sum(r["count"] for r in counts), 32):
         found = F.broadcast(found)
-    # A row's shard is the only one of its hash's prefixes that the directory has.
-    tried = sizes.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in sorted(depths)]))) if depths else sizes.withColumn("depth", F.lit(0))
-    own = tried.withColumn("bucket", _prefix(F.col("depth"))).join(found, ["depth", "bucket"]).withColumn("shard", _bits_text(F.col("bucket"), F.col("depth")))
-    fits = own.filter((F.col("depth") < HASH_BITS) | (F.col("shard_bytes") <= limit))
-    if HASH_BITS in depths:
-        w = Window.partitionBy("depth", "bucket").orderBy("bytes")
-        part = F.floor((F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")) / F.lit(max(1, limit // 2)))
-        cut = own.filter((F.col("depth") == HASH_BITS) & (F.col("shard_bytes") > limit)).withColumn("part", F.when(F.col("bytes") * 2 > limit, F.row_number().over(w)).otherwise(-1 - part))
-        cut = cut.withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("depth", "bucket", "part"))).withColumn("shard", F.concat("shard", F.lit("#"), F.col("part").cast("string")))
-        fits = fits.unionByName(cut.drop("part"))
-    return fits.select(F.col("key").alias(key), F.col("bytes").alias("n_bytes"), "shard", "depth", "shard_bytes")
+    tried = sizes.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths or [0]])))
+    return tried.withColumn("bucket", _prefix(F.col("depth"))).join(found, ["space", "depth", "bucket"]).withColumn("bits", _bits_text(F.col("bucket"), F.col("depth")))
+
+
+def assign_shards(rows: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
+    """key, n_bytes, shard, depth (bits of the key), shard_bytes: the shard of every row."""
+    row_hash = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - HASH_BITS)  # staged, so it stays what it is
+    sizes = staged(rows.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.lit(0).cast("long").alias("space"), key_hash(F.col(key)).alias("hash"), row_hash.alias("row_hash")))
+    found = directory(sizes, limit)
+    own = _placed(sizes, found)
+    over = (F.col("depth") == HASH_BITS) & (F.col("shard_bytes") > limit)
+    out = own.filter(~over).select("key", "bytes", F.col("bits").alias("shard"), "depth", "shard_bytes")
+    if not found.filter(over).isEmpty():
+        hot = staged(own.filter(over).select("key", "bytes", F.col("hash").alias("space"), F.col("row_hash").alias("hash"), F.col("bits").alias("key_bits")))
+        cut = _placed(hot, directory(hot, limit))
+        out = out.unionByName(cut.select("key", "bytes", F.concat("key_bits", F.lit("#"), "bits").alias("shard"), F.lit(HASH_BITS).alias("depth"), "shard_bytes"))
+    return out.select(F.col("key").alias(key), F.col("bytes").alias("n_bytes"), "shard", "depth", "shard_bytes")
 
 
 def write_shards(rows: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:

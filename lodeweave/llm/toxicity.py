@@ -197,13 +197,34 @@ def _restorer(model) -> Restorer:
     return _RESTORERS[id(model.value)]
 
 
-def _sampler(model):
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _feature_counter(model):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restorer, seen = _restorer(model), {}
+        for batch in batches:
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                for f in features_of(restorer.words(text)):
+                    docs, hits = seen.get(f, (0, 0))
+                    seen[f] = (docs + 1, hits + toxic)
+                if len(seen) > REMEMBERED:
+                    yield _counted(seen)
+                    seen = {}
+        yield _counted(seen)
+
+    return count
+
+
+def _counted(seen: dict[str, tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame({"f": list(seen), "docs": [d for d, _ in seen.values()], "hits": [h for _, h in seen.values()]}).astype({"f": str, "docs": "int64", "hits": "int64"})
+
+
+def _feature_rows(model, at: dict[str, int]):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = _restorer(model)
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "features": [sorted(features_of(restorer.words(t))) for t in batch["text"]]})
+            found = [sorted(at[f] for f in features_of(restorer.words(t)) & at.keys()) for t in batch["text"]]
+            yield pd.DataFrame({"toxic": batch["toxic"], "f": found})
 
-    return sample
+    return rows
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int = SAMPLE) -> DataFrame:
@@ -248,24 +269,23 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, model) -> Scorer:
     """Learn from the labelled sample; model: the broadcast language model."""
-    sample = staged(labelled_sample(docs, labels, "toxic", train).mapInPandas(_sampler(model), "toxic int, features array<string>"))
+    sample = staged(labelled_sample(docs, labels, "toxic", train))
     n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (ones + 0.5) / (n + 1)
     bias = float(np.log(prior / (1 - prior)))
     if not 0 < ones < n:
         return Scorer({}, bias)
-    counts = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("docs"), F.sum("toxic").alias("hits"))
+    counts = sample.mapInPandas(_feature_counter(model), "f string, docs long, hits long").groupBy("f").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
     # G statistic of the word against the label, for words that are likelier with label 1.
     a, b = F.col("hits") + 0.5, F.col("docs") - F.col("hits") + 0.5
     g = a * F.log(a / ((a + b) * prior)) + b * F.log(b / ((a + b) * (1 - prior)))
     best = counts.filter(f"docs >= {LEAST_DOCS} and hits > docs * {prior}").select("f", g.alias("g")).orderBy(F.desc("g"), "f").limit(FEATURES)
     names = [r.f for r in best.collect()]  # at most FEATURES
     at = {f: i for i, f in enumerate(names)}
-    known = F.array(*[F.lit(f) for f in names]) if names else F.array().cast("array<string>")
-    rows = sample.select("toxic", F.array_intersect("features", known).alias("f")).groupBy("toxic", "f").count().collect()  # at most SAMPLE
+    rows = sample.mapInPandas(_feature_rows(model, at), "toxic int, f array<int>").groupBy("toxic", "f").count().collect()  # at most SAMPLE
     x, y, times = np.zeros((len(rows), len(names)), np.float32), np.zeros(len(rows)), np.zeros(len(rows))
     for i, r in enumerate(rows):
-        x[i, [at[f] for f in r.f]] = 1
+        x[i, list(r.f)] = 1
         y[i], times[i] = r.toxic, r["count"]
     order = np.repeat(np.arange(len(rows)), times.astype(int))
     w = logistic(x[order].astype(float), y[order])
