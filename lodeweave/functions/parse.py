@@ -64,12 +64,15 @@ def is_script(path: Column) -> Column:
 _SCRIPT = "imports array<string>, symbols array<struct<kind:string,name:string,exported:boolean>>, refs array<string>, calls array<string>, bindings array<struct<local:string,source:string>>"
 
 
-def parsed(path: Column, content: Column) -> Column:
-    """Struct of imports, symbols, refs, calls and bindings: scripts by the recogniser, other files by patterns."""
+def script_facts(path: Column, content: Column) -> Column:
+    """What the recogniser finds in scripts; null for other files. Select it as a column before parsed() uses it."""
+    return F.pandas_udf(parse_scripts, _SCRIPT)(path, F.when(is_script(path), F.coalesce(content, F.lit(""))))
+
+
+def parsed(path: Column, content: Column, s: Column) -> Column:
+    """Struct of imports, symbols, refs, calls and bindings: scripts by the recogniser (s), other files by patterns."""
     text = F.coalesce(content, F.lit(""))
     script = is_script(path)
-    code = F.when(script, text)
-    s = F.pandas_udf(parse_scripts, _SCRIPT)(path, code)
     matches = F.flatten(F.array(*[F.transform(_all(text, p), lambda n: F.struct(F.lit(k).alias("kind"), n.alias("name"), F.lit(e).alias("exported"))) for k, e, p in SYMBOLS]))
     imports = F.filter(F.transform(F.flatten(F.array(*[_all(text, p) for p in IMPORTS])), T.trimmed), lambda x: x != "")
     either = lambda a, b: F.when(script, a).otherwise(b)

@@ -9,16 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
-from lodeweave.functions.parse import parsed
+from lodeweave.functions.parse import parsed, script_facts
 
 DOC_LINES, CODE_LINES = 12, 24
 
 
 def file_records(contents: DataFrame) -> DataFrame:
     """contents(repo_id, path, size, modified_at_ms, content) with language, is_test and what the parsers find."""
-    return contents.select(
+    return contents.withColumn("s", script_facts(F.col("path"), F.col("content"))).select(
         "repo_id", "path", T.language(F.col("path")).alias("language"), F.col("size").cast("long"), F.col("modified_at_ms").cast("double"),
-        T.is_test(F.col("path")).alias("is_test"), "content", parsed(F.col("path"), F.col("content")).alias("p"),
+        T.is_test(F.col("path")).alias("is_test"), "content", parsed(F.col("path"), F.col("content"), F.col("s")).alias("p"),
     ).select("repo_id", "path", "language", "size", "modified_at_ms", "is_test", "content", "p.*")
 
 

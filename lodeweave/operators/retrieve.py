@@ -9,11 +9,17 @@ costs a string operation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
 from lodeweave.operators.graph import by_path, expand_seeds
+from lodeweave.sources.shared import staged
 
 #: Cuts of the ranking.
 SEEDS, CHUNK_HITS, CHUNKS_A_FILE, SEMANTIC_FILES, RANKED = 5, 16, 3, 8, 12
@@ -39,17 +45,40 @@ def file_facts(files: DataFrame) -> DataFrame:
     )
 
 
+def holders(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """repo_id, token, term for tokens of words(repo_id, token) that hold a term of terms(repo_id, term): an equi-join over substrings of the terms' lengths."""
+    lengths = terms.select("repo_id", F.length("term").alias("size")).distinct()
+    place = F.explode(F.sequence(F.lit(1), F.length("token") - F.col("size") + 1))
+    pieces = words.join(lengths, "repo_id").filter("length(token) >= size").select("repo_id", "token", "size", place.alias("at")).select("repo_id", "token", F.col("token").substr(F.col("at"), F.col("size")).alias("term")).distinct()
+    return pieces.join(terms.select("repo_id", "term").distinct(), ["repo_id", "term"])
+
+
 def structural_scores(analysis: DataFrame, facts: DataFrame) -> DataFrame:
-    """task_id, repo_id, path, score, reason, role for files that score for a task."""
-    both = analysis.select("task_id", "repo_id", "intent", "terms").join(facts.select("repo_id", "path", "language", "is_test", "names", F.lower("path").alias("low")), "repo_id")
-    in_names = lambda t: F.size(F.filter("names", lambda n: n.contains(t)))
-    parts = F.transform("terms", lambda t: F.struct(t.alias("term"), F.col("low").contains(t).alias("in_path"), in_names(t).alias("named")))
+    """task_id, repo_id, path, score, reason, role for files that score for a task.
+
+    Files meet tasks by the terms that their paths' and names' tokens hold, never pair by pair. Of
+    the files that score by the intent "docs" alone, only the first SEEDS in path order are listed
+    (tests and others apart), as no later one can be a seed.
+    """
+    split = lambda c: F.split(F.lower(c), "[^a-z0-9]+")
+    slots = F.concat(F.array(split(F.col("path"))), F.transform("names", split))
+    spots = facts.select("repo_id", "path", F.posexplode(slots).alias("slot", "tokens")).select("repo_id", "path", "slot", F.explode("tokens").alias("token")).filter("token <> ''")
+    terms = analysis.select("task_id", "repo_id", F.posexplode("terms").alias("ord", "term"))
+    spots = staged(spots)
+    held = spots.join(holders(spots.select("repo_id", "token").distinct(), terms), ["repo_id", "token"]).select("repo_id", "path", "slot", "term").distinct()
+    counted = held.groupBy("repo_id", "path", "term").agg(F.bool_or(F.col("slot") == 0).alias("in_path"), F.count_if(F.col("slot") > 0).alias("named"))
+    hit = F.struct("ord", "term", "in_path", "named")
+    found = counted.join(terms, ["repo_id", "term"]).select("task_id", "repo_id", "path", hit.alias("hit"))
+    first = top(facts.filter("language = 'markdown'").select("repo_id", "path", "is_test"), SEEDS, by_path(), by=("repo_id", "is_test")).select("repo_id", "path")
+    asked = analysis.filter("intent = 'docs'").join(first, "repo_id").select("task_id", "repo_id", "path", F.lit(None).cast("struct<ord:int,term:string,in_path:boolean,named:bigint>").alias("hit"))
+    hits = found.unionByName(asked).groupBy("task_id", "repo_id", "path").agg(F.sort_array(F.collect_list("hit")).alias("hits"))  # as many as a task has terms
+    both = hits.join(analysis.select("task_id", "repo_id", "intent"), ["task_id", "repo_id"]).join(facts.select("repo_id", "path", "language", "is_test"), ["repo_id", "path"])
     docs = (F.col("intent") == "docs") & (F.col("language") == "markdown")
-    score = F.aggregate("hits", F.lit(0), lambda a, h: a + F.when(h["in_path"], 6).otherwise(0) + h["named"] * 5) + F.when(docs, 4).otherwise(0) - F.col("is_test").cast("int")
+    score = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + F.when(h["in_path"], 6).otherwise(0) + h["named"] * 5) + F.when(docs, 4).otherwise(0) - F.col("is_test").cast("int")
     quoted = lambda kind, h: F.concat(F.lit(f'{kind} matches "'), h["term"], F.lit('"'))
     texts = F.flatten(F.transform("hits", lambda h: F.array(F.when(h["in_path"], quoted("Path", h)), F.when(h["named"] > 0, quoted("Symbol", h)))))
     reasons = F.array_distinct(F.array_compact(F.concat(texts, F.array(F.when(docs, "Documentation matches task intent")))))
-    scored = both.withColumn("hits", F.filter(parts, lambda h: h["in_path"] | (h["named"] > 0))).withColumn("score", score.cast("double")).filter("score > 0")
+    scored = both.withColumn("score", score.cast("double")).filter("score > 0")
     reason = F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise("Graph fallback matched file metadata")
     return scored.select("task_id", "repo_id", "path", "score", reason.alias("reason"), F.when(F.col("is_test"), "test").otherwise("primary").alias("role"))
 
@@ -64,7 +93,7 @@ def structural_seeds(analysis: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def structural_candidates(analysis: DataFrame, facts: DataFrame, edges: DataFrame) -> DataFrame:
-    seeds = structural_seeds(analysis, facts)
+    seeds = staged(structural_seeds(analysis, facts))  # five rows a task, read in three places
     return expand_seeds(seeds, edges, facts.select("repo_id", "path", "is_test"))
 
 
@@ -81,7 +110,7 @@ def semantic_chunks(analysis: DataFrame, chunks: DataFrame, index: DataFrame | N
     A chunk's vector has the trigrams of the task's terms too, the task's own vector has not; index
     is postings(chunks), if it is kept.
     """
-    index = postings(chunks) if index is None else index
+    index = staged(postings(chunks)) if index is None else index  # read in six places
     terms = analysis.select("task_id", "repo_id", F.explode("terms").alias("term"))
     grams = analysis.select("task_id", "repo_id", F.explode(T.term_trigrams(F.col("terms"))).alias("gram")).groupBy("task_id", "repo_id", "gram").agg(F.count(F.lit(1)).alias("m"))
     extra = grams.join(terms, ["task_id", "repo_id"]).filter("gram = term").groupBy("task_id", "repo_id").agg(F.sum("m").alias("dot_grams"))
@@ -89,11 +118,7 @@ def semantic_chunks(analysis: DataFrame, chunks: DataFrame, index: DataFrame | N
     task = task.select("task_id", "repo_id", "n_terms", "gram_norm", F.coalesce("dot_grams", F.lit(0)).alias("dot_grams"))
     norms = index.groupBy("repo_id", "id").agg(F.sum(F.col("n") * F.col("n")).alias("text_norm"))
 
-    lengths = terms.select("repo_id", F.length("term").alias("size")).distinct()
-    words = index.select("repo_id", "token").distinct()
-    piece = F.explode(F.sequence(F.lit(1), F.length("token") - F.col("size") + 1))
-    pieces = words.join(lengths, "repo_id").filter("length(token) >= size").select("repo_id", "token", "size", piece.alias("at")).select("repo_id", "token", F.col("token").substr(F.col("at"), F.col("size")).alias("term")).distinct()
-    holds = pieces.join(terms.select("repo_id", "term").distinct(), ["repo_id", "term"])
+    holds = holders(index.select("repo_id", "token").distinct(), terms)
     asked = index.join(holds.select("repo_id", "token", "term"), ["repo_id", "token"])
     boosts = asked.select("repo_id", "id", "term").distinct().join(terms, ["repo_id", "term"])
     none = F.lit(0).cast("long")
@@ -210,19 +235,57 @@ def retrieve(tasks: DataFrame, files: DataFrame, chunks: DataFrame, edges: DataF
     """Ranked candidates of every task, before overrides."""
     analysis, facts = analyzed(tasks), file_facts(files)
     structural = structural_candidates(analysis, facts, edges)
-    semantic = semantic_candidates(semantic_chunks(analysis, chunks))
+    semantic = semantic_candidates(staged(semantic_chunks(analysis, chunks)))  # 16 rows a task
     return reranked(merged(structural, semantic, facts, chunk_lists(chunks)))
 
 
+#: Vectors of queries that one pass holds at most, and vectors that meet them at once.
+QUERY_BYTES = 4 << 20
+DENSE_ROWS = 1024
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    return _unit(np.array(vectors.tolist(), float).reshape(-1, width))
+
+
+def _nearest(sent, width: int, limit: int):
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, block = sent.value
+        least = np.full((limit, len(ids)), -np.inf)  # the best scores of each query so far
+        for batch in batches:
+            found = []
+            for k in range(0, len(batch), DENSE_ROWS):
+                own = batch["id"].to_numpy()[k : k + DENSE_ROWS]
+                score = np.round(_matrix(batch["embedding"].iloc[k : k + DENSE_ROWS], width) @ block.T, 10)
+                score[own[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(np.concatenate([least, score]), len(score), axis=0)[-limit:]
+                row, query = np.nonzero((score >= least.min(0)) & (score > -np.inf))
+                found.append(pd.DataFrame({"query_id": ids[query], "vec_id": own[row], "score": score[row, query]}))
+            if found:
+                yield pd.concat(found)
+
+    return best
+
+
 def dense_matches(queries: DataFrame, vectors: DataFrame, limit: int = SEMANTIC_FILES) -> DataFrame:
-    """query_id, vec_id, score: the nearest vectors by cosine; both tables have (id, embedding).
+    """query_id, vec_id, score: the nearest vectors by cosine; both tables have (id, embedding), ids are unique.
 
-    The queries are a stated set; they meet the vectors in blocks of the vectors' partitions.
+    The queries are a stated set. They meet all vectors in blocks of QUERY_BYTES, one pass each;
+    a task passes on what can be among the nearest of its own rows, so no pair of the rest is shuffled.
+    Vectors without a direction score 0; a null vector is left out; vectors must have one length.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    unit = lambda d: d.select("id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    q = unit(queries).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    pairs = unit(vectors).join(q, F.col("id") != F.col("query_id"))
-    size = F.col("norm") * F.col("q_norm")
-    scored = pairs.select("query_id", F.col("id").alias("vec_id"), F.when(size > 0, dot(F.col("embedding"), F.col("q")) / size).otherwise(0.0).alias("score"))
-    return top(scored, limit, F.desc("score"), F.col("vec_id"), by=("query_id",))
+    spark = vectors.sparkSession
+    queries, vectors = queries.filter("embedding is not null"), vectors.filter("embedding is not null")
+    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    blocks = max(1, -(-n * width * 8 // QUERY_BYTES))
+    found = []
+    for k in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id", "embedding").toPandas()  # about QUERY_BYTES
+        sent = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), _matrix(rows["embedding"], width)))
+        found.append(vectors.select("id", "embedding").mapInPandas(_nearest(sent, width, limit), "query_id long, vec_id long, score double"))
+    return top(reduce(DataFrame.unionByName, found), limit, F.desc("score"), F.col("vec_id"), by=("query_id",))

@@ -13,6 +13,7 @@ from lodeweave.functions import text as T
 from lodeweave.operators import compile as C
 from lodeweave.operators import graph, index, pack, retrieve, sessions
 from lodeweave.sources.repository import read_repository
+from lodeweave.sources.shared import staged
 from lodeweave.sources.store import Index, MemoryStore, SessionLog
 
 
@@ -85,11 +86,11 @@ class Engine:
         analysis, facts = retrieve.analyzed(tasks), retrieve.file_facts(own.files)
         lists = retrieve.chunk_lists(own.chunks)
         structural = retrieve.structural_candidates(analysis, facts, own.edges)
-        semantic = retrieve.semantic_candidates(self.providers.matcher(analysis, own.chunks))
-        best = retrieve.reranked(retrieve.merged(structural, semantic, facts, lists))
+        semantic = retrieve.semantic_candidates(staged(self.providers.matcher(analysis, own.chunks)))
+        best = staged(retrieve.reranked(retrieve.merged(structural, semantic, facts, lists)))  # a dozen rows a task
         self._reasons = retrieve.truncation_reasons(best)
         overrides = sessions.merged_overrides(tasks, sessions.memory_pins(self.memory.read()))
-        return retrieve.apply_overrides(best, overrides, facts, lists)
+        return staged(retrieve.apply_overrides(best, overrides, facts, lists))
 
     def explain_selection(self, tasks: DataFrame) -> DataFrame:
         """What a compile would select and why; the session log stays as it is."""
