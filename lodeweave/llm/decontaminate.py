@@ -8,7 +8,7 @@ the sum of minima over the sum of maxima of the shingles' numbers of occurrences
 
 Windows that can't reach the similarity are not fingerprinted at all: the sum of minima is at most
 the number of the window's shingles that occur in some item of that length, and must be 0.8 of the item's shingles.
-With equal sizes a similarity of 0.8 turns about ten bits (sd 3), so 20 covers it; what the
+With equal sizes a similarity of 0.8 turns about ten bits (sd 3), so 23 covers it; what the
 fingerprint of a pair at 0.8 or more lies beyond, the method doesn't see.
 
 Words are lower-cased runs of letters and digits. Items come in blocks of bounded bytes, one pass over the documents each.
@@ -38,7 +38,7 @@ from lodeweave.llm.simhash import majority
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 20
+RADIUS = 23
 #: Benchmark text that is held in memory at once; more items make more passes.
 BLOCK_BYTES = 4 << 20
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double, differing_bits int"

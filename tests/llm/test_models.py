@@ -70,7 +70,7 @@ def planted():
     words = [f"w{i}" for i in range(400)]
     items = [(i, " ".join(rng.choices(words, k=rng.randint(20, 60)))) for i in range(30)] + [(30, "one two"), (31, ""), (32, None), (33, "same words here and there"), (34, "same words here and there")]
     docs = []
-    for d in range(120):
+    for d in range(160):
         body = rng.choices(words, k=rng.randint(0, 300))
         if d % 2:
             own = (items[d % 30][1]).split()
