@@ -103,7 +103,8 @@ class Engine:
         described = pack.describe(self.providers.summarizer(ranked) if self.providers.summarizer else ranked, own.files.drop("language"))
         packed = pack.pack(described, self.budget)
         items = pack.context_items(described, packed)
-        prompts = C.compiled(tasks, ranked, packed, items, self._reasons, sessions.session_lines(tasks, self.memory.read()), self.providers.estimate).persist()
+        made = C.compiled(tasks, ranked, packed, items, self._reasons, sessions.session_lines(tasks, self.memory.read()), self.providers.estimate)
+        prompts = staged(made)  # before the log grows: a cache would be made anew from the longer log
         if remember:
             self.memory.append(sessions.session_records(prompts, self.memory.next_seq()))
         return Compiled(prompts, ranked, items)
