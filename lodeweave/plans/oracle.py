@@ -154,15 +154,15 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_diff": """WITH a AS (SELECT user_id::VARCHAR AS path, count(*) AS size, max(ts) AS at FROM events WHERE event_id % 3 <> 0 GROUP BY 1), b AS (SELECT user_id::VARCHAR AS path, count(*) AS size, max(ts) AS at FROM events WHERE event_type <> 'error' GROUP BY 1)
             SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.size = b.size AND a.at = b.at THEN 'reused' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path""",
         "index_metrics": _sql(
-            """SELECT count_if(change = 'added') AS added_files, count_if(change = 'changed') AS changed_files, count_if(change = 'removed') AS removed_files, count_if(change = 'reused') AS reused_files,
+            """SELECT count_if(change = 'added')::BIGINT AS added_files, count_if(change = 'changed')::BIGINT AS changed_files, count_if(change = 'removed')::BIGINT AS removed_files, count_if(change = 'reused')::BIGINT AS reused_files,
             (SELECT count(*) FROM chunks JOIN diff ON file_path = path WHERE change = 'reused') AS reused_chunks, least((SELECT count(*) FROM edges), (SELECT count(*) FROM edges WHERE kind <> 'caller')) AS reused_edges FROM diff""",
             FILES, CHUNKS, EDGES,
             """diff AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'reused' END AS change FROM files WHERE doc_id % 7 <> 0 OR doc_id % 11 <> 0)""",
         ),
         "recent_sessions": _sql("SELECT repo_id, seq, row_number() OVER (PARTITION BY repo_id ORDER BY seq DESC)::INT AS recency, array_to_string(files, ',') AS files FROM picked QUALIFY recency <= 3", LOG),
         "memory_pins": _sql(
-            """SELECT repo_id, string_agg(f, ',' ORDER BY at) AS memory FROM (SELECT repo_id, f, min(at) AS at FROM (
-            SELECT repo_id, f, row_number() OVER (PARTITION BY repo_id ORDER BY seq DESC, i) AS at FROM (SELECT repo_id, seq, unnest(files) AS f, generate_subscripts(files, 1) AS i FROM newest) QUALIFY at <= 4) GROUP BY ALL) GROUP BY repo_id""",
+            """SELECT repo_id, string_agg(f, ',' ORDER BY spot) AS memory FROM (SELECT repo_id, f, min(spot) AS spot FROM (
+            SELECT repo_id, f, row_number() OVER (PARTITION BY repo_id ORDER BY seq DESC, i) AS spot FROM (SELECT repo_id, seq, unnest(files) AS f, generate_subscripts(files, 1) AS i FROM newest) QUALIFY spot <= 4) GROUP BY ALL) GROUP BY repo_id""",
             LOG, "newest AS (SELECT * FROM picked QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY seq DESC) <= 3)",
         ),
         "session_retention": _sql("SELECT repo_id, seq FROM picked QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY seq DESC) <= 20", LOG),
