@@ -31,6 +31,7 @@ _LEX = re.compile(
     re.S,
 )
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_TEMPLATE = re.compile(r"(?:\\(?:.|\Z)|\$(?!\{)|[^`\\$])*(`|\$\{|\Z)", re.S)
 _VALUE_END = frozenset(")]}")
 _OBJECT_BEFORE = frozenset(["=", "(", ",", ":", "[", "?", "&&", "||", "??", "...", "return"])
 _EXPRESSION_BEFORE = frozenset(["=", "(", ",", ":", "?", "=>", "[", "&&", "||", "??", "!", "...", "return", "new", "typeof", "void", "await", "case"])
@@ -62,7 +63,7 @@ def tokens_of(code: str) -> list[Token]:
             else:
                 out.append(Token("text", "``", fresh))
             # the rest of a template up to its end or the next expression, which stands in parentheses
-            m = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(`|\$\{|\Z)", re.S).match(code, at)
+            m = _TEMPLATE.match(code, at)
             at = m.end()
             if m[1] == "${":
                 depths.append(braces)
