@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import staged
+from lodeweave.llm.common import small_enough, staged
 from lodeweave.llm.components import connected_components
 
 RADIUS = 3
@@ -157,26 +157,35 @@ def close_links(prints: DataFrame, radius: int = RADIUS, limit: int = BUCKET) ->
     return dealt.select("path", "value", "print").mapInPandas(_linker(radius), "a long, b long")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """print, root (the class's own print), component_id, class_rows: a row for each fingerprint of prints(doc_id, print)."""
+    own = staged(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = staged(connected_components(close_links(own.select("print"), radius)))
+    rooted = own.join(roots, own["print"] == roots["node"], "left").select("print", "first", "n", F.coalesce("root", "print").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("class_rows"))
+    return rooted.join(least, "root").select("print", "root", "component_id", "class_rows")
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (the smallest doc_id that links reach): a row for each row."""
     prints = staged(fingerprints(docs))
-    classes = staged(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
-    roots = staged(connected_components(close_links(classes.select("print"), radius)))
-    rooted = classes.join(roots, classes["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("print", "component_id")
+    named = _classes(prints, radius).select("print", "component_id")
     return prints.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _print_of(texts: pd.Series) -> pd.Series:
+    return pd.Series(np.fromiter((majority(shingle_hashes(x)) for x in texts), np.uint64, len(texts)).view(np.int64))
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id (of rows that repeat it, one)."""
-    from lodeweave.llm.common import keep_ids
-
-    groups = staged(near_groups(docs, radius))
-    again = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    ids = staged(groups.join(again, groups["component_id"].eqNullSafe(again["component_id"]), "left_semi").select("doc_id", "component_id"))
-    n = ids.count()
-    single = keep_ids(docs, ids, "doc_id", n, "left_anti")
-    firsts = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = keep_ids(docs, firsts, "doc_id", n).dropDuplicates(["doc_id"])
+    """docs with one row of each group: the one with the smallest doc_id (a null id after all others; of rows that share it, one)."""
+    own = staged(docs.withColumn("__print", F.pandas_udf(_print_of, "long")(F.col("text").cast("string"))))
+    classes = _classes(own.select(F.col("doc_id").cast("long"), F.col("__print").alias("print")), radius)
+    many = staged(classes.filter("class_rows > 1").select(F.col("print").alias("__of"), F.col("root").alias("__root"), F.col("component_id").alias("__first")))
+    if small_enough(many.count(), 48):
+        many = F.broadcast(many)
+    shared = own["__print"] == many["__of"]
+    single = own.join(many, shared, "left_anti").drop("__print")
+    firsts = own.join(many, shared & own["doc_id"].eqNullSafe(many["__first"]))
+    kept = firsts.groupBy("__root").agg(F.min_by(F.struct(*[own[f"`{c}`"] for c in docs.columns]), F.struct("__print", F.length("text"))).alias("__row")).select("__row.*")
     return single.unionByName(kept)

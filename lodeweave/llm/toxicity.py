@@ -315,9 +315,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without the documents that score `least` or more."""
+    """docs without the documents that score `least` or more; all of them stay if the labels teach nothing."""
     model = docs.sparkSession.sparkContext.broadcast(language_model(docs))
     scorer = fit(docs, labels, ~held_out(), model)
+    if not scorer.weights:
+        return docs
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
