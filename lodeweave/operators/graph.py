@@ -98,21 +98,23 @@ def expand_seeds(seeds: DataFrame, edges: DataFrame, files: DataFrame) -> DataFr
     the walks of one edge and of two. The earliest event with the largest score gives a path its
     row; reasons of later events are appended. Two joins are all walks, as none is longer.
     """
-    w = Window.partitionBy("repo_id", "src").orderBy("kind", by_path("dst"))
-    steps = edges.withColumn("ord", F.row_number().over(w)).join(files.select("repo_id", F.col("path").alias("dst"), F.col("is_test").alias("to_test")), ["repo_id", "dst"])
+    steps = edges.join(files.select("repo_id", F.col("path").alias("dst"), F.col("is_test").alias("to_test")), ["repo_id", "dst"])
+    # An edge's place among those of its source: by kind, then path. No source's edges are gathered for it.
+    place = lambda n, kind, path: F.struct(n.alias("n"), kind.alias("kind"), F.collate(path, "UNICODE").alias("to"))
+    first, step = place(F.lit(0), F.lit(""), F.lit("")), place(F.lit(0), F.col("kind"), F.col("dst"))
     role = lambda d: F.when((F.col("kind") == "test") | F.col("to_test"), "test").otherwise("dependency" if d == 1 else "semantic-support")
     gain = lambda d: F.greatest(F.lit(1.0), F.col("seed_score") - 2 * d + F.col("weight"))
     start = seeds.select("task_id", "repo_id", "seed_rank", F.col("path").alias("seed"), F.col("score").cast("double").alias("seed_score"))
     one = start.withColumn("src", F.col("seed")).join(steps, ["repo_id", "src"]).select(
-        "task_id", "repo_id", "seed_rank", "seed", "seed_score", F.col("dst").alias("path"), F.lit(1).alias("distance"), F.col("ord").alias("o1"), F.lit(0).alias("o2"),
+        "task_id", "repo_id", "seed_rank", "seed", "seed_score", F.col("dst").alias("path"), F.lit(1).alias("distance"), step.alias("o1"), first.alias("o2"),
         gain(1).alias("score"), role(1).alias("role"), edge_reason(F.col("seed"), F.col("kind"), F.col("src"), F.col("dst")).alias("reason"), F.array("seed", "dst").alias("trail"),
     )
     two = one.select("task_id", "repo_id", "seed_rank", "seed", "seed_score", F.col("path").alias("src"), "o1", F.col("trail").alias("before")).join(steps, ["repo_id", "src"]).select(
-        "task_id", "repo_id", "seed_rank", "seed", "seed_score", F.col("dst").alias("path"), F.lit(2).alias("distance"), "o1", F.col("ord").alias("o2"),
+        "task_id", "repo_id", "seed_rank", "seed", "seed_score", F.col("dst").alias("path"), F.lit(2).alias("distance"), "o1", step.alias("o2"),
         gain(2).alias("score"), role(2).alias("role"), edge_reason(F.col("seed"), F.col("kind"), F.col("src"), F.col("dst")).alias("reason"), F.concat("before", F.array("dst")).alias("trail"),
     )
     own = seeds.select(
-        "task_id", "repo_id", F.lit(0).alias("seed_rank"), F.col("path").alias("seed"), F.col("score").cast("double").alias("seed_score"), "path", F.lit(0).alias("distance"), F.col("seed_rank").alias("o1"), F.lit(0).alias("o2"),
+        "task_id", "repo_id", F.lit(0).alias("seed_rank"), F.col("path").alias("seed"), F.col("score").cast("double").alias("seed_score"), "path", F.lit(0).alias("distance"), place(F.col("seed_rank"), F.lit(""), F.lit("")).alias("o1"), first.alias("o2"),
         F.col("score").cast("double").alias("score"), "role", "reason", F.array("path").alias("trail"),
     )
     event = F.struct("seed_rank", "distance", "o1", "o2", "score", "role", "reason", "trail")
