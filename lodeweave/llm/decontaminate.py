@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +34,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import keep_ids, staged
 from lodeweave.llm.simhash import majority
 
 WORDS = 5
@@ -161,25 +161,33 @@ def _matcher(items, least: float, radius: int):
     return match
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The best matching window for each pair of a document and an item that has one."""
+def _cleaner(items, least: float, radius: int):
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not items.value.matches(t, least, radius) for t in texts], dtype=bool)
+
+    return clean
+
+
+def _blocks(benchmark: DataFrame, radius: int, block_bytes: int) -> Iterator:
+    """The items as broadcast blocks of about block_bytes."""
     if radius >= 24:
         raise ValueError("eight blocks of two differing bits find up to 23")
-    spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    found = None
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # at most about block_bytes
-        block = spark.sparkContext.broadcast(Items([(r.item_id, r.text) for r in rows]))
-        part = own.mapInPandas(_matcher(block, least, radius), SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return found
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in rows]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The best matching window for each pair of a document and an item that has one."""
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return reduce(DataFrame.unionByName, [own.mapInPandas(_matcher(block, least, radius), SCHEMA) for block in _blocks(benchmark, radius, block_bytes)])
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a passage of the benchmark."""
-    ids = staged(contaminated(docs, benchmark).select("doc_id").distinct())
-    return keep_ids(docs, ids, "doc_id", ids.count(), "left_anti")
+def clean_rows(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows that hold a passage of the benchmark, each judged by its own text, whatever its id."""
+    for block in _blocks(benchmark, radius, block_bytes):
+        docs = docs.filter(F.pandas_udf(_cleaner(block, least, radius), "boolean")(F.col("text").cast("string")))
+    return docs

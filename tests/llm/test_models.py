@@ -94,6 +94,15 @@ def test_contamination_matches_brute_force(spark):
         assert all(r.differing_bits <= decontaminate.RADIUS for r in got)
 
 
+def test_clean_rows_are_judged_by_their_own_text(spark):
+    items, docs = planted()
+    rows = docs + [(105, "another text with the id of a contaminated one"), (None, "a clean text without an id")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(str(r) for r in rows if not brute_matches(r[1], items))
+    for block in (1 << 20, 500):
+        assert sorted(str(tuple(r)) for r in decontaminate.clean_rows(spark.createDataFrame(rows, DOCS), bench, block_bytes=block).collect()) == want
+
+
 def test_nothing_to_match(spark):
     items, docs = planted()
     bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, DOCS)
