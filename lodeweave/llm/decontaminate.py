@@ -74,11 +74,14 @@ class _Group:
     def close(self) -> None:
         self.prints = np.array([print_of(parts) for _, parts in self.items], np.uint64)
         own = self.prints.view(np.uint8).reshape(-1, 8)
-        self.near = [[np.flatnonzero(_BITS[own[:, k] ^ v] <= 2) for v in range(256)] for k in range(8)]
+        self.near = [{v: close for v in range(256) if len(close := np.flatnonzero(_BITS[own[:, k] ^ v] <= 2))} for k in range(8)]
 
     def within(self, found: int, radius: int) -> list[tuple[int, int]]:
         value = np.array([found], np.uint64)
-        some = np.unique(np.concatenate([self.near[k][v] for k, v in enumerate(value.view(np.uint8).tolist())]))
+        close = [self.near[k][v] for k, v in enumerate(value.view(np.uint8).tolist()) if v in self.near[k]]
+        if not close:
+            return []
+        some = np.unique(np.concatenate(close))
         bits = np.bitwise_count(self.prints[some] ^ value[0])
         return [(int(i), int(b)) for i, b in zip(some, bits) if b <= radius]
 

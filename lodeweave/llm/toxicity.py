@@ -47,7 +47,7 @@ _BYTE = np.full(256, OTHER, np.int64)
 _BYTE[[9, 10, 11, 12, 13, 32]] = 0
 _BYTE[97:123] = np.arange(1, 27)
 REMEMBERED = 100_000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def symbol_codes(text: str) -> np.ndarray:
