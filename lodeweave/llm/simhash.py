@@ -17,7 +17,7 @@ empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -157,15 +157,22 @@ def close_links(prints: DataFrame, radius: int = RADIUS, limit: int = BUCKET) ->
     return dealt.select("path", "value", "print").mapInPandas(_linker(radius), "a long, b long")
 
 
-def _classes(prints: DataFrame, radius: int) -> DataFrame:
-    """print, root (the class's own print), component_id, class_rows: a row for each fingerprint of prints(doc_id, print)."""
+def classes_of(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """print, root (the class's own print), component_id, class_rows: a row for each fingerprint of prints(doc_id, print).
+
+    links gives the links (a, b) of the distinct fingerprints (print, n rows).
+    """
     own = staged(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = staged(connected_components(close_links(own.select("print"), radius)))
+    roots = staged(connected_components(links(own.select("print", "n"))))
     rooted = own.join(roots, own["print"] == roots["node"], "left").select("print", "first", "n", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("class_rows"))
     return rooted.join(least, "root").select("print", "root", "component_id", "class_rows")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    return classes_of(prints, lambda own: close_links(own.select("print"), radius))
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (the smallest doc_id that links reach): a row for each row."""
     prints = staged(fingerprints(docs))
@@ -181,11 +188,16 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id (a null id after all others; of rows that share it, one)."""
     own = staged(docs.withColumn("__print", F.pandas_udf(_print_of, "long")(F.col("text").cast("string"))))
     classes = _classes(own.select(F.col("doc_id").cast("long"), F.col("__print").alias("print")), radius)
+    return first_of_each(own, classes, docs.columns)
+
+
+def first_of_each(own: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of own (with __print) for one row of each class."""
     many = staged(classes.filter("class_rows > 1").select(F.col("print").alias("__of"), F.col("root").alias("__root"), F.col("component_id").alias("__first")))
     if small_enough(many.count(), 48):
         many = F.broadcast(many)
     shared = own["__print"] == many["__of"]
-    single = own.join(many, shared, "left_anti").drop("__print")
+    single = own.join(many, shared, "left_anti").select(*[own[f"`{c}`"] for c in columns])
     firsts = own.join(many, shared & own["doc_id"].eqNullSafe(many["__first"]))
-    kept = firsts.groupBy("__root").agg(F.min_by(F.struct(*[own[f"`{c}`"] for c in docs.columns]), F.struct("__print", F.length("text"))).alias("__row")).select("__row.*")
+    kept = firsts.groupBy("__root").agg(F.min_by(F.struct(*[own[f"`{c}`"] for c in columns]), F.struct("__print", F.length("text"))).alias("__row")).select("__row.*")
     return single.unionByName(kept)
