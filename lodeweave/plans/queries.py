@@ -15,6 +15,7 @@ from lodeweave.functions import text as T
 from lodeweave.functions.parse import module_symbol
 from lodeweave.operators import compile as C
 from lodeweave.operators import graph, index, pack, retrieve, sessions
+from lodeweave.sources.shared import staged
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -124,22 +125,27 @@ def overrides_applied(spark: SparkSession, d: str) -> DataFrame:
     return x.select("task_id", "path", F.round("score", 6).alias("score"), "source", "role", "stage", "rank")
 
 
-def _described(spark: SparkSession, d: str) -> DataFrame:
-    x = _ranked(spark, d).join(files(spark, d).select("path", F.length("content").alias("n")), "path")
-    return x.select("task_id", "rank", "path", F.lit(True).alias("found"), T.keep_raw(F.col("role"), F.col("score")).alias("raw_preferred"), T.bucket(F.col("role")).alias("bucket"), F.ceil(F.col("n") / 4).alias("raw_tokens"), F.ceil(F.col("n") / 16).alias("summary_tokens"))
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """files with the path that each imports, as edges has it."""
+    own = files(spark, d).drop("imports")
+    up = own.select(F.col("doc_id").alias("up"), F.col("path").alias("imported"))
+    found = own.join(up, F.when(F.col("doc_id") >= 10, F.floor(F.col("doc_id") / 10)) == F.col("up"), "left")
+    return found.withColumn("imports", F.array_compact(F.array("imported"))).drop("up", "imported")
+
+
+def _described(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The ranked candidates, and the same with what a raw item and a summary of each say and cost."""
+    best = staged(_ranked(spark, d))  # a dozen rows a task
+    return best, pack.describe(best, _sources(spark, d).drop("language"))
 
 
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
-    return pack.pack(_described(spark, d)).select("task_id", F.array_join(F.transform("items", lambda i: F.concat(i["path"], F.lit(":"), i["compression"])), ",").alias("items"), F.array_join("omitted", ",").alias("omitted"), "used_raw", "used_summary", "used_dependency", "used_tests", "used_total")
+    return pack.pack(_described(spark, d)[1]).select("task_id", F.array_join(F.transform("items", lambda i: F.concat(i["path"], F.lit(":"), i["compression"])), ",").alias("items"), F.array_join("omitted", ",").alias("omitted"), "used_raw", "used_summary", "used_dependency", "used_tests", "used_total")
 
 
 def _prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts from semantic candidates alone."""
-    facts = _facts(spark, d)
-    semantic = retrieve.semantic_candidates(_hits(spark, d))
-    none = retrieve.structural_candidates(retrieve.analyzed(tasks(spark, d)).filter(F.lit(False)), facts, edges(spark, d))
-    best = retrieve.reranked(retrieve.merged(none, semantic, facts, retrieve.chunk_lists(_chunks(spark, d))))
-    described = pack.describe(best, files(spark, d).drop("language"))
+    """Prompts as a compile without overrides and sessions makes them."""
+    best, described = _described(spark, d)
     packed = pack.pack(described)
     return C.compiled(tasks(spark, d), best, packed, pack.context_items(described, packed), retrieve.truncation_reasons(best))
 
