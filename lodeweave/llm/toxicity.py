@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-A token that may hide a word (digits or signs among letters, letters repeated three times, single
-letters spaced or dotted out) becomes a lattice: each sign may stand for itself, for the letters it
+A token that may hide a word (digits or signs among letters or at their edge, equal letters in a
+row, single letters or signs spaced or dotted out) becomes a lattice: each sign may stand for itself, for the letters it
 looks like, or for nothing. Viterbi finds the likeliest letters under a character language model
 (four characters, counted over all documents). Other tokens have one path, so they stay. A logistic
 regression over words and word beginnings, picked by their G statistic, scores the restored text.
@@ -41,7 +41,13 @@ ACCENTS = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _EDGE = ".,;:?!\"'`()[]{}<>#%&*-_~=/\\^|…«»„“”‘’"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?!\S)")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+#: Edge signs that stand for no letter.
+_BARE = "".join(c for c in _EDGE if c not in LOOKS_LIKE and c != "*")
+_ONE = "(?:[^\\W_]|[" + re.escape("".join(c for c in LOOKS_LIKE if not c.isalnum()) + "*") + "])"
+_GAP = r"(?:[.\-_'/,]*\s+(?:[.\-_'/,]+\s+)*)"
+_SPACED = re.compile(rf"(?<![^\s\"'(\[{{<]){_ONE}(?:{_GAP}{_ONE}){{2,}}(?=[{re.escape(_EDGE)}]*(?:\s|\Z))")
+_GAPS = re.compile(r"[\s.\-_'/,]+")
 _DOTTED = re.compile(r"[^\W_](?:[.\-_*'/][^\W_]){2,}")
 _BYTE = np.full(256, OTHER, np.int64)
 _BYTE[[9, 10, 11, 12, 13, 32]] = 0
@@ -141,36 +147,46 @@ class Restorer:
             self.seen[token] = best
         return best
 
+    def _spaced(self, run: str) -> str:
+        return self.decode(_GAPS.sub(" ", run))
+
+    def _hidden(self, token: str) -> str | None:
+        """What a token without blanks may hide, or None; token: with its edge signs that look like letters."""
+        core = token.strip(_EDGE)
+        if core.isalpha():
+            return self.decode(token) if core != token or _DOUBLE.search(core) else None
+        letters = any(c.isalpha() for c in core)
+        hides = letters and (_DOTTED.fullmatch(core) or any(c in LOOKS_LIKE or c == "*" for c in token))
+        return self.decode(token) if hides else None
+
     def words(self, text: str | None) -> set[str]:
-        """The different words of the restored text."""
+        """The different words of the restored text, and those of the text where both may be meant."""
         text = (text or "").lower().replace("$$$", " ")
         out: set[str] = set()
-        if _SPACED.search(text):
-            for run in _SPACED.findall(text):
-                out.update(self.decode(run).split())
-        triple = _TRIPLE.search(text) is not None
-        for token in set(text.split()):
-            token = token.strip(_EDGE)
-            if token.isalpha():
-                if triple and _TRIPLE.search(token):
-                    token = self.decode(token)
-                out.add(token)
-            elif token:
-                letters = any(c.isalpha() for c in token)
-                if letters and (_DOTTED.fullmatch(token) or any(c in LOOKS_LIKE or c == "*" for c in token)):
-                    out.update(_LETTERS.findall(self.decode(token)))
+        for run in _SPACED.findall(text):
+            out.update(_LETTERS.findall(self._spaced(run)))
+        for whole in set(text.split()):
+            whole = whole.strip(_BARE)
+            token = whole.strip(_EDGE)
+            if not token:
+                continue
+            lead = whole.index(token)
+            for form in {whole, whole[max(0, lead - 1) :], token}:  # the signs before a word may be a bracket and a letter
+                hidden = self._hidden(form)
+                if hidden is not None:
+                    out.update(_LETTERS.findall(hidden))
+            if not (token.isalpha() and _TRIPLE.search(token)):
                 out.update(_LETTERS.findall(token))
         return out
 
     def restore(self, text: str | None) -> str:
         """The whole text with the tokens that were decoded replaced."""
-        text = _SPACED.sub(lambda m: self.decode(m[0]), (text or "").lower())
+        text = _SPACED.sub(lambda m: self._spaced(m[0]), (text or "").lower())
 
         def token(m: re.Match) -> str:
-            whole = m[0]
-            core = whole.strip(_EDGE)
-            hides = core and (_TRIPLE.search(core) or _DOTTED.fullmatch(core) or (any(c.isalpha() for c in core) and any(c in LOOKS_LIKE or c == "*" for c in core)))
-            return whole.replace(core, self.decode(core), 1) if hides else whole
+            whole = m[0].strip(_BARE)
+            hidden = self._hidden(whole) if whole else None
+            return m[0] if hidden is None else m[0].replace(whole, hidden, 1)
 
         return re.sub(r"\S+", token, text)
 
