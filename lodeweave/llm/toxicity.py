@@ -161,7 +161,7 @@ class Restorer:
 
     def words(self, text: str | None) -> set[str]:
         """The different words of the restored text, and those of the text where both may be meant."""
-        text = (text or "").lower().replace("$$$", " ")
+        text = (text or "").lower()
         out: set[str] = set()
         for run in _SPACED.findall(text):
             out.update(_LETTERS.findall(self._spaced(run)))

@@ -21,3 +21,9 @@ def test_disguises_reach_the_lattice(restorer, word, disguise):
 
 def test_plain_words_stay(restorer):
     assert {"letter", "all", "see", "see", "good"} <= restorer.words("All (see letter)! Good.")
+
+
+def test_dollar_signs_are_letters_or_nothing(restorer):
+    assert "stupid" in restorer.words("The $$$tupid of it.")
+    assert "scum" in restorer.words("The $$$cum of it.")
+    assert restorer.words("junk $$$ here $$$$") == {"junk", "here"}
