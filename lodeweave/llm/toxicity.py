@@ -16,6 +16,7 @@ takes part once for each; an empty table gives no rows; further columns are igno
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -48,7 +49,9 @@ _ONE = "(?:[^\\W_]|[" + re.escape("".join(c for c in LOOKS_LIKE if not c.isalnum
 _GAP = r"(?:[.\-_'/,]*\s+(?:[.\-_'/,]+\s+)*)"
 _SPACED = re.compile(rf"(?<![^\s\"'(\[{{<]){_ONE}(?:{_GAP}{_ONE}){{2,}}(?=[{re.escape(_EDGE)}]*(?:\s|\Z))")
 _GAPS = re.compile(r"[\s.\-_'/,]+")
+_TOKEN = re.compile(r"\S+")
 _DOTTED = re.compile(r"[^\W_](?:[.\-_*'/][^\W_]){2,}")
+_SIGNS = frozenset([*LOOKS_LIKE, "*"])
 _BYTE = np.full(256, OTHER, np.int64)
 _BYTE[[9, 10, 11, 12, 13, 32]] = 0
 _BYTE[97:123] = np.arange(1, 27)
@@ -104,91 +107,158 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log((table + smooth) / (table.sum(1, keepdims=True) + 5.0)).astype(np.float32).ravel()
 
 
+#: Log-costs of the channel: a sign that stands for a letter, for any letter ('*'), for itself, or for nothing;
+#: a letter that is there twice, once more than that, or a sign repeated.
+LETTER, ANY, ITSELF, GONE, BLANK, TWICE, AGAIN = -1.0, -3.0, -3.0, -0.2, -2.0, -3.0, -0.7
+#: A sign at a word's edge that is mere punctuation: before a word, after it.
+EDGES = {"(": (-2.0, -2.0), "<": (-2.0, -2.0), "!": (-6.0, -0.5), "|": (-6.0, -2.0), "*": (-2.0, -0.2)}
+
+
+def _shows(c: str) -> list[tuple[str, int | None, float]]:
+    plain = c.translate(ACCENTS)
+    if "a" <= plain <= "z":
+        return [(c, ord(plain) - 96, 0.0)]
+    if c == " ":
+        return [(" ", 0, BLANK)]
+    ways = [(c, OTHER, ITSELF if c in LOOKS_LIKE else LETTER)] + [(x, ord(x) - 96, LETTER) for x in LOOKS_LIKE.get(c, "")]
+    return ways + [(chr(96 + k), k, ANY) for k in range(1, 27)] if c == "*" else ways
+
+
 class Restorer:
+    """Finds the likeliest letters of tokens under a language model of four symbols."""
+
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model = model.tolist()
+        self.most = model.reshape(-1, SYMBOLS).max(0).tolist()  # no context gives a symbol more
+        self.ways = {c: _shows(c) for c in map(chr, range(256))}
+        self.symbol = {c: ways[0][1] for c, ways in self.ways.items() if ways[0][2] == 0}
         self.seen: dict[str, str] = {}
 
-    def decode(self, token: str) -> str:
-        """The likeliest letters for a token; blanks in it may be nothing or a word's end."""
-        if token in self.seen:
-            return self.seen[token]
-        start = 0
-        states = {start: (0.0, "")}
-        model, wrap = self.model, SYMBOLS ** (ORDER - 1)
+    def lattice(self, token: str) -> list[list[tuple[str, int | None, float]]]:
+        """For each sign what it may show, as which symbol (None: nothing at all), at what cost."""
+        core = token.strip(_EDGE)
+        first = token.find(core) if core else 0
+        last, before, out = first + len(core), "", []
         for i, c in enumerate(token):
-            plain = c.translate(ACCENTS)
-            options: list[tuple[str, int, float]] = []
-            if "a" <= plain <= "z":
-                options.append((c, ord(plain) - 96, 0.0))
-            elif c == " ":
-                options.append((" ", 0, -2.0))
-            else:
-                options.append((c, OTHER, -3.0 if c in LOOKS_LIKE else -1.0))
-                options += [(x, ord(x) - 96, -1.0) for x in LOOKS_LIKE.get(c, "")]
-                if c == "*":
-                    options += [(chr(96 + k), k, -3.0) for k in range(1, 27)]
-            gone = -0.2 if c in " .-_'/*" else -0.7 if i and token[i - 1] == c else None
+            ways = self.ways.get(c) or _shows(c)
+            if core and c in EDGES and not first <= i < last:
+                ways = [*ways, ("", None, EDGES[c][i >= last])]
+            elif c in " .-_'/*":
+                ways = [*ways, ("", None, GONE)]
+            elif c == before:
+                ways = [*ways, ("", None, TWICE if c.isalpha() and (i < 2 or c != token[i - 2]) else AGAIN)]
+            before = c
+            out.append(ways)
+        return out
+
+    def _ahead(self, steps: list) -> list[float]:
+        """What the signs after each can add at most."""
+        rest = [self.most[0]]
+        for ways in reversed(steps[1:]):
+            rest.append(rest[-1] + max(cost + (0.0 if symbol is None else self.most[symbol]) for _, symbol, cost in ways))
+        return rest[::-1]
+
+    def _search(self, steps: list, least: float = -math.inf) -> tuple[float, str]:
+        """The best path; states that can't come to `least` any more are left out, which loses no such path."""
+        model, wrap = self.model, SYMBOLS ** (ORDER - 1)
+        ahead = self._ahead(steps) if least > -math.inf else None
+        states = {0: (0.0, "")}
+        for i, ways in enumerate(steps):
             new: dict[int, tuple[float, str]] = {}
             for state, (score, text) in states.items():
-                if gone is not None and (score + gone, text) > new.get(state, (-1e30, "")):
-                    new[state] = (score + gone, text)
-                for shown, symbol, cost in options:
-                    code = state * SYMBOLS + symbol
-                    way = (score + cost + float(model[code]), text + shown)
-                    to = code % wrap
-                    if way > new.get(to, (-1e30, "")):
+                for shown, symbol, cost in ways:
+                    if symbol is None:
+                        to, way = state, (score + cost, text)
+                    else:
+                        code = state * SYMBOLS + symbol
+                        to, way = code % wrap, (score + cost + model[code], text + shown)
+                    if to not in new or way > new[to]:
                         new[to] = way
+            if ahead:
+                floor = least - ahead[i] - 1e-6
+                new = {state: way for state, way in new.items() if way[0] >= floor}
             states = new
-        best = max((score + float(model[state * SYMBOLS]), text) for state, (score, text) in states.items())[1]
-        if len(token) <= 64:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[token] = best
+        return max(((score + model[state * SYMBOLS], text) for state, (score, text) in states.items()), default=(-math.inf, ""))
+
+    def _twice(self, token: str, at: int) -> tuple[float, str] | None:
+        """The better of a word with one doubled letter and the same with it once; None if the search must find it."""
+        best = None
+        for text, score in ((token, 0.0), (token[:at] + token[at + 1 :], TWICE)):
+            state = 0
+            for c in text:
+                symbol = self.symbol.get(c)
+                if symbol is None:
+                    return None
+                code = state * SYMBOLS + symbol
+                score += self.model[code]
+                state = code % (SYMBOLS ** (ORDER - 1))
+            way = (score + self.model[state * SYMBOLS], text)
+            best = max(best, way) if best else way
         return best
 
-    def _spaced(self, run: str) -> str:
-        return self.decode(_GAPS.sub(" ", run))
+    def _best(self, token: str) -> tuple[float, str]:
+        doubles = _DOUBLE.findall(token) if token.isalpha() else ()
+        if len(doubles) == 1 and not _TRIPLE.search(token) and (best := self._twice(token, token.index(doubles[0] * 2))):
+            return best
+        steps = self.lattice(token)
+        if "*" not in token:
+            return self._search(steps)
+        fewer = [[w for w in ways if w[2] != ANY or w[1] == OTHER] for ways in steps]
+        return self._search(steps, self._search(fewer)[0])
 
-    def _hidden(self, token: str) -> str | None:
-        """What a token without blanks may hide, or None; token: with its edge signs that look like letters."""
-        core = token.strip(_EDGE)
+    def decode(self, token: str) -> str:
+        """The likeliest letters for a token (of equal paths the last text); blanks in it may be nothing or a word's end.
+
+        The lattice without the letters of '*' gives a score that the best path has at least; it bounds the search.
+        """
+        best = self.seen.get(token)
+        if best is None:
+            best = self._best(token)[1]
+            if len(token) <= 64:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen[token] = best
+        return best
+
+    def _shown(self, token: str) -> str:
+        """A token without blanks, decoded if it may hide a word; edge signs that can be no letter stay as they are."""
+        core, whole = token.strip(_EDGE), token.strip(_BARE)
         if core.isalpha():
-            return self.decode(token) if core != token or _DOUBLE.search(core) else None
-        letters = any(c.isalpha() for c in core)
-        hides = letters and (_DOTTED.fullmatch(core) or any(c in LOOKS_LIKE or c == "*" for c in token))
-        return self.decode(token) if hides else None
+            hides = core != whole or _DOUBLE.search(core)
+        else:
+            hides = any(c.isalpha() for c in core) and (_DOTTED.fullmatch(core) or not _SIGNS.isdisjoint(whole))
+        return token.replace(whole, self.decode(whole), 1) if hides else token
 
-    def words(self, text: str | None) -> set[str]:
-        """The different words of the restored text, and those of the text where both may be meant."""
-        text = (text or "").lower()
-        out: set[str] = set()
-        for run in _SPACED.findall(text):
-            out.update(_LETTERS.findall(self._spaced(run)))
-        for whole in set(text.split()):
-            whole = whole.strip(_BARE)
-            token = whole.strip(_EDGE)
-            if not token:
-                continue
-            lead = whole.index(token)
-            for form in {whole, whole[max(0, lead - 1) :], token}:  # the signs before a word may be a bracket and a letter
-                hidden = self._hidden(form)
-                if hidden is not None:
-                    out.update(_LETTERS.findall(hidden))
-            if not (token.isalpha() and _TRIPLE.search(token)):
-                out.update(_LETTERS.findall(token))
-        return out
+    def _unspaced(self, text: str | None) -> str:
+        return _SPACED.sub(lambda m: self.decode(_GAPS.sub(" ", m[0])), (text or "").lower())
 
     def restore(self, text: str | None) -> str:
-        """The whole text with the tokens that were decoded replaced."""
-        text = _SPACED.sub(lambda m: self._spaced(m[0]), (text or "").lower())
-
-        def token(m: re.Match) -> str:
-            whole = m[0].strip(_BARE)
-            hidden = self._hidden(whole) if whole else None
-            return m[0] if hidden is None else m[0].replace(whole, hidden, 1)
+        """The whole text in lower case with the tokens that may hide words decoded."""
+        return _TOKEN.sub(lambda m: self._shown(m[0]), self._unspaced(text))
 
-        return re.sub(r"\S+", token, text)
+    def words(self, text: str | None) -> set[str]:
+        """The different words of the restored text, and of words with only a doubled letter or edge signs those as written.
+
+        No language model of a corpus tells a rare word in brackets or with a doubled letter from a disguise, so both count.
+        """
+        tokens = set(self._unspaced(text).split())
+        plain = [t for t in tokens if t.isalpha()]  # only a doubled letter can hide something here
+        out = set()
+        for token in tokens.difference(plain):
+            core = token.strip(_EDGE)
+            if core.isalpha():
+                plain.append(core)
+                if core == token.strip(_BARE):
+                    continue
+            out.update(_LETTERS.findall(self._shown(token)))
+        joined, end = " ".join(plain), 0
+        for m in _DOUBLE.finditer(joined):
+            if m.start() >= end:
+                end = joined.find(" ", m.end())
+                end = len(joined) if end < 0 else end
+                out.update(_LETTERS.findall(self.decode(joined[joined.rfind(" ", 0, m.start()) + 1 : end])))
+        out.update(w for w in plain if not _TRIPLE.search(w)) if _TRIPLE.search(joined) else out.update(plain)
+        return out
 
 
 def features_of(words: set[str]) -> set[str]:
