@@ -1,13 +1,16 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For every benchmark item, each window of a document with as many words is a candidate if its
-SimHash differs from the item's in at most RADIUS bits. Candidates are found by multi-index blocks:
-fingerprints within RADIUS < 8 * 3 bits agree up to two bits in one of eight bytes, so a look-up of
-each byte in a table of two-bit neighbourhoods finds all of them. The exact similarity then decides:
-the sum of minima over the sum of maxima of the shingles' numbers of occurrences (five words, 0.8).
-
-Windows that can't reach the similarity are not fingerprinted at all: the sum of minima is at most
-the number of the window's shingles that occur in some item of that length, and must be 0.8 of the item's shingles.
+For every benchmark item, each window of a document with as many words is fingerprinted: a bit is
+set if it is set in over half of the hashes of the window's shingles. Sums of bits up to each place
+are kept, so a window's counts are one difference: the entering shingles less the leaving ones.
+
+A fingerprint is a candidate if it differs from an item's in at most RADIUS bits. Multi-index blocks
+find them: fingerprints within RADIUS = 4 * 5 + 3 agree up to five bits in one of four blocks of 16,
+so a table of the values near each item's block says which windows may be close, and no pair within
+the radius is lost. A candidate must then hold enough shingles that occur in some item, which loses no
+pair at 0.8; its distance to each item is counted, and the exact similarity decides: the sum of minima
+over the sum of maxima of the shingles' numbers of occurrences (five words, 0.8).
+
 With equal sizes a similarity of 0.8 turns about ten bits (sd 3), so 23 covers it; what the
 fingerprint of a pair at 0.8 or more lies beyond, the method doesn't see.
 
@@ -15,18 +18,18 @@ Words are lower-cased runs of letters and digits. Items come in blocks of bounde
 
 Defined cases: null texts are empty; an item without words matches nothing; an item of fewer than
 five words is one shingle of all its words; a document shorter than an item is one window; items
-with equal text each report; of equal windows the first counts; repeated rows report each; an empty
-table on either side gives no rows; further columns are ignored.
+with equal text each report; of equal windows the first counts; repeated rows and rows with null ids
+report each; texts of any length are read whole, CHUNK places at a time; an empty table on either
+side gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,16 +37,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.simhash import majority
-
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23
+#: Each of four blocks of 16 bits finds pairs that differ in up to NEAR bits there.
+NEAR = 5
 #: Benchmark text that is held in memory at once; more items make more passes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Windows fingerprinted at once, and shingles of documents gathered for it.
+CHUNK = 1 << 13
+GATHERED = 1 << 16
+REMEMBERED = 1 << 18
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double, differing_bits int"
 _WORD = re.compile(r"[^\W_]+")
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+_BLOCK = np.arange(1 << 16, dtype=np.uint16)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,111 +61,166 @@ def shingles(words: list[str], size: int) -> list[str]:
     return [" ".join(words[i : i + size]) for i in range(max(0, len(words) - size + 1))]
 
 
-def print_of(parts: list[str]) -> int:
-    return majority(np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in parts], np.uint64))
-
-
 def similarity(a: list[str], b: list[str]) -> float:
     x, y = Counter(a), Counter(b)
     least = sum((x & y).values())
     return least / (len(a) + len(b) - least) if a or b else 0.0
 
 
-class _Group:
-    """Items of one length: their fingerprints and, for each byte of them, which items are within two bits."""
+class _Hashes(dict):
+    """XXH64 of words, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        return value
 
-    def __init__(self, words: int, size: int):
-        self.words, self.size, self.n = words, size, words - size + 1
-        self.items: list[tuple[int, list[str]]] = []
 
-    def close(self) -> None:
-        self.prints = np.array([print_of(parts) for _, parts in self.items], np.uint64)
-        own = self.prints.view(np.uint8).reshape(-1, 8)
-        self.near = [{v: close for v in range(256) if len(close := np.flatnonzero(_BITS[own[:, k] ^ v] <= 2))} for k in range(8)]
+def shingle_codes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of `size` words, mixed from the words' hashes."""
+    if len(hashes) < size:
+        return np.empty(0, np.uint64)
+    out = np.zeros(len(hashes) - size + 1, np.uint64)
+    for k in range(size):
+        out = (out ^ hashes[k : len(hashes) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
 
-    def within(self, found: int, radius: int) -> list[tuple[int, int]]:
-        value = np.array([found], np.uint64)
-        close = [self.near[k][v] for k, v in enumerate(value.view(np.uint8).tolist()) if v in self.near[k]]
-        if not close:
-            return []
-        some = np.unique(np.concatenate(close))
-        bits = np.bitwise_count(self.prints[some] ^ value[0])
-        return [(int(i), int(b)) for i, b in zip(some, bits) if b <= radius]
 
+def bit_sums(codes: np.ndarray, most: int) -> np.ndarray:
+    """How many codes before each place have each bit, modulo a power of two over `most`."""
+    bits = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+    sums = np.zeros((len(codes) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])
+    return sums
 
-def _codes(ids: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit code for each run of `size` word ids (or each row of a table of runs)."""
-    runs = ids.T if ids.ndim == 2 else [ids[k : len(ids) - size + 1 + k] for k in range(size)]
-    out = np.zeros(len(runs[0]), np.uint64)
-    for part in runs:
-        out = (out ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+
+def window_prints(sums: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprint of each window of n codes, from bit_sums of at least that bound."""
+    counts = sums[n:] - sums[: len(sums) - n]
+    return np.packbits((counts > sums.dtype.type(n // 2)).ravel(), bitorder="little").view("<u8")
+
+
+class _Group:
+    """Items of one length: their fingerprints and which values of each block are near one of them."""
+
+    def __init__(self, words: int, size: int):
+        self.words, self.size, self.n = words, size, words - size + 1
+        self.items: list[tuple[int, list[str]]] = []
+        self.prints: list[int] = []
+        self.near: list[np.ndarray] | None = None
+
+    def candidates(self, prints: np.ndarray) -> np.ndarray:
+        """Whether a block of each fingerprint is near that of an item."""
+        if self.near is None:  # in each worker, when first asked for
+            blocks = np.array(self.prints, np.uint64).view(np.uint16).reshape(-1, 4)
+            near = [np.logical_or.reduce([np.bitwise_count(_BLOCK ^ v) <= NEAR for v in np.unique(blocks[:, k])]) for k in range(4)]
+            self.near = [np.packbits(x, bitorder="little") for x in near]  # 8 KB each
+        parts = prints.view(np.uint16).reshape(-1, 4)
+        found = np.zeros(len(prints), np.uint8)
+        for k in range(4):
+            part = np.ascontiguousarray(parts[:, k])
+            found |= self.near[k].take((part >> 3).astype(np.intp), mode="clip") >> (part & 7).astype(np.uint8)
+        return (found & 1).astype(bool)
+
+    def within(self, prints: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
+        """(place, item, differing bits) of the fingerprints within the radius of an item."""
+        bits = np.bitwise_count(prints[:, None] ^ np.array(self.prints, np.uint64))
+        place, item = np.nonzero(bits <= radius)
+        return list(zip(place.tolist(), item.tolist(), bits[place, item].tolist()))
 
 
 class Items:
     def __init__(self, items: list[tuple[int, str]]):
-        self.vocabulary: dict[str, int] = {}
         groups: dict[int, _Group] = {}
-        self.known: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))  # shingles to lengths of items
+        known: dict[int, list[np.ndarray]] = {}
+        self.hashes = _Hashes()
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
             size = min(WORDS, len(words))
             group = groups.setdefault(len(words), _Group(len(words), size))
+            codes = shingle_codes(self._hashed(words), size)
             group.items.append((item_id, shingles(words, size)))
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            for i in range(len(ids) - size + 1):
-                self.known[size][tuple(ids[i : i + size])].add(len(words))
-        self.known = {size: dict(known) for size, known in self.known.items()}
-        self.codes = {size: np.unique(_codes(np.array(sorted(known), np.int64), size)) for size, known in self.known.items()}
-        self.groups = sorted(groups.values(), key=lambda g: g.words)
-        for g in self.groups:
-            g.close()
-
-    def _hits(self, ids: np.ndarray, size: int) -> dict[int, list[int]]:
-        """For each length of items, the positions that start a shingle of such an item."""
-        found: dict[int, list[int]] = defaultdict(list)
-        if len(ids) >= size:
-            codes = _codes(ids, size)
-            at = np.minimum(np.searchsorted(self.codes[size], codes), len(self.codes[size]) - 1)
-            for p in np.flatnonzero(self.codes[size][at] == codes).tolist():  # the code may lie, the words don't
-                for words in self.known[size].get(tuple(ids[p : p + size].tolist()), ()):
-                    found[words].append(p)
-        return found
-
-    def matches(self, text: str | None, least: float = SIMILARITY, radius: int = RADIUS) -> list[tuple[int, int, int, float, int]]:
-        """(item_id, first word, words, similarity, differing bits) of the best window for each item found."""
-        words = words_of(text)
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-        hits = {size: self._hits(ids, size) for size in self.known}
-        best: dict[int, tuple[float, int, int, int]] = {}
-        parts: dict[int, list[str]] = {}
-        for g in self.groups:
-            own_hits = hits[g.size].get(g.words, ())
-            if len(own_hits) < least * g.n - 1e-9 or not own_hits:
+            group.prints.append(int(window_prints(bit_sums(codes, len(codes)), len(codes))[0]))
+            known.setdefault(size, []).append(codes)
+        self.codes = {size: np.unique(np.concatenate(parts)) for size, parts in known.items()}
+        self.groups = {size: sorted((g for g in groups.values() if g.size == size), key=lambda g: g.words) for size in self.codes}
+
+    def _hashed(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+
+    def _gathered(self, texts: list[str | None], least: float, radius: int) -> list[list[tuple[int, int, int, float, int]]]:
+        words = [words_of(t) for t in texts]
+        hashed = [self._hashed(w) for w in words]
+        best: list[dict[int, tuple[float, int, int, int]]] = [{} for _ in texts]
+
+        def judge(g: _Group, k: int, doc: int, start: int, n: int, bits: int) -> None:
+            item_id, other = g.items[k]
+            like = similarity(shingles(words[doc][start : start + n + g.size - 1], g.size), other)
+            if like >= least - 1e-12 and (item_id not in best[doc] or like > best[doc][item_id][0]):
+                best[doc][item_id] = (like, start, n + g.size - 1, bits)
+
+        for size, groups in self.groups.items():
+            own = [shingle_codes(h, size) for h in hashed]
+            length = np.array([len(c) for c in own])
+            first = np.cumsum(length) - length
+            codes = np.concatenate(own)
+            if not len(codes):
                 continue
-            hit = np.zeros(len(ids) - g.size + 1, np.int64)
-            hit[own_hits] = 1
-            n = min(g.n, len(hit))
-            runs = np.concatenate([[0], np.cumsum(hit)])
-            for s in np.flatnonzero(runs[n:] - runs[:-n] >= least * g.n - 1e-9).tolist():
-                if g.size not in parts:
-                    parts[g.size] = shingles(words, g.size)
-                own = parts[g.size][s : s + n]
-                for k, bits in g.within(print_of(own), radius):
-                    item_id, other = g.items[k]
-                    like = similarity(own, other)
-                    if like >= least - 1e-12 and (item_id not in best or like > best[item_id][0]):
-                        best[item_id] = (like, s, n + g.size - 1, bits)
-        return [(item, s, n, like, bits) for item, (like, s, n, bits) in sorted(best.items())]
+            at = np.minimum(np.searchsorted(self.codes[size], codes), len(self.codes[size]) - 1)
+            runs = np.concatenate([[0], np.cumsum(self.codes[size][at] == codes)]).astype(np.int32)  # shingles of some item before each place
+            most = max(g.n for g in groups)
+            for chunk in range(0, len(codes), CHUNK):
+                stop = min(len(codes), chunk + CHUNK)  # windows that begin before it
+                sums: dict[type, np.ndarray] = {}
+                for g in groups:
+                    if chunk + g.n > len(codes):
+                        break
+                    wide = g.n > 255
+                    if wide not in sums:
+                        sums[wide] = bit_sums(codes[chunk : stop + (most if wide else min(most, 255)) - 1], most if wide else 255)
+                    prints = window_prints(sums[wide][: stop - chunk + g.n], g.n)
+                    held = runs[chunk + g.n : chunk + g.n + len(prints)] - runs[chunk : chunk + len(prints)]
+                    some = np.flatnonzero(g.candidates(prints) & (held >= math.ceil(least * g.n - 1e-9)))
+                    for i, k, bits in g.within(prints[some], radius) if len(some) else ():
+                        at = chunk + int(some[i])
+                        doc = int(np.searchsorted(first, at, "right")) - 1
+                        if at - first[doc] + g.n <= length[doc]:  # within one document
+                            judge(g, k, doc, at - int(first[doc]), g.n, bits)
+            filled = np.flatnonzero((length > 0) & (length < most))
+            if len(filled):
+                n, begin = length[filled], first[filled]
+                hold = runs[begin + n] - runs[begin]
+                prints = np.concatenate([window_prints(bit_sums(own[d], len(own[d])), len(own[d])) for d in filled])
+                for g in groups:
+                    less = np.flatnonzero((n < g.n) & (n >= least * g.n - 1e-9))  # a shorter text can't be alike
+                    some = less[g.candidates(prints[less]) & (hold[less] >= least * g.n - 1e-9)]
+                    for i, k, bits in g.within(prints[some], radius) if len(some) else ():
+                        judge(g, k, int(filled[some[i]]), 0, int(n[some[i]]), bits)
+        return [[(item, s, n, like, bits) for item, (like, s, n, bits) in sorted(b.items())] for b in best]
+
+    def matches(self, texts, least: float = SIMILARITY, radius: int = RADIUS) -> Iterator[list[tuple[int, int, int, float, int]]]:
+        """For each text (item_id, first word, words, similarity, differing bits) of the best window for each item found."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "") // 6 + 1
+            if size >= GATHERED:
+                yield from self._gathered(held, least, radius)
+                held, size = [], 0
+        if held:
+            yield from self._gathered(held, least, radius)
 
 
 def _matcher(items, least: float, radius: int):
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(doc, *m) for doc, text in zip(batch["doc_id"], batch["text"]) for m in items.value.matches(text, least, radius)]
+            found = [(doc, *m) for doc, ms in zip(batch["doc_id"], items.value.matches(batch["text"], least, radius)) for m in ms]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "start_word", "n_words", "similarity", "differing_bits"])
 
     return match
@@ -166,16 +228,16 @@ def _matcher(items, least: float, radius: int):
 
 def _cleaner(items, least: float, radius: int):
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not items.value.matches(t, least, radius) for t in texts], dtype=bool)
+        return pd.Series([not found for found in items.value.matches(texts, least, radius)], dtype=bool)
 
     return clean
 
 
 def _blocks(benchmark: DataFrame, radius: int, block_bytes: int) -> Iterator:
     """The items as broadcast blocks of about block_bytes."""
-    if radius >= 24:
-        raise ValueError("eight blocks of two differing bits find up to 23")
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    if radius > 4 * NEAR + 3:
+        raise ValueError(f"four blocks of {NEAR} differing bits find up to {4 * NEAR + 3}")
+    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
     for k in range(blocks):

@@ -11,7 +11,8 @@ of words (FEATURES); the language model's counts cover every document.
 
 Defined cases: null text is empty; an empty text scores the model's bias; with one label only, or none, each
 score is the smoothed share of label 1; repeated rows score alike; a document with several labels
-takes part once for each; an empty table gives no rows; further columns are ignored.
+takes part once for each; texts of any length are read whole; an empty table gives no rows; further columns are
+ignored (by clean_rows: carried), whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,19 +50,23 @@ _BARE = "".join(c for c in _EDGE if c not in LOOKS_LIKE and c != "*")
 _ONE = "(?:[^\\W_]|[" + re.escape("".join(c for c in LOOKS_LIKE if not c.isalnum()) + "*") + "])"
 _GAP = r"(?:[.\-_'/,]*\s+(?:[.\-_'/,]+\s+)*)"
 _SPACED = re.compile(rf"(?<![^\s\"'(\[{{<]){_ONE}(?:{_GAP}{_ONE}){{2,}}(?=[{re.escape(_EDGE)}]*(?:\s|\Z))")
+#: What every such run begins with, looked for first: two single signs with gaps.
+_SINGLES = re.compile(rf"[\s\"'(\[{{<]\S{_GAP}\S{_GAP}")
 _GAPS = re.compile(r"[\s.\-_'/,]+")
 _TOKEN = re.compile(r"\S+")
 _DOTTED = re.compile(r"[^\W_](?:[.\-_*'/][^\W_]){2,}")
 _SIGNS = frozenset([*LOOKS_LIKE, "*"])
-_BYTE = np.full(256, OTHER, np.int64)
+_BYTE = np.full(256, OTHER, np.int32)
 _BYTE[[9, 10, 11, 12, 13, 32]] = 0
 _BYTE[97:123] = np.arange(1, 27)
+for _accented, _letter in ACCENTS.items():
+    _BYTE[_accented] = ord(_letter) - 96 if isinstance(_letter, str) else _letter - 96
 REMEMBERED = 100_000
 CHUNK = 1 << 18
 
 
 def symbol_codes(text: str) -> np.ndarray:
-    raw = text.lower().translate(ACCENTS).encode("ascii", "replace")
+    raw = text.lower().encode("latin-1", "replace")
     return _BYTE[np.frombuffer(raw, np.uint8)]
 
 
@@ -71,9 +77,10 @@ def gram_counts(texts) -> np.ndarray:
 
     def add() -> None:
         c = symbol_codes(gap + gap.join(held) + " ")
-        code = np.zeros(len(c) - ORDER + 1, np.int64)
+        code = np.zeros(len(c) - ORDER + 1, np.int32)
         for k in range(ORDER):
-            code = code * SYMBOLS + c[k : k + len(code)]
+            code *= SYMBOLS
+            code += c[k : k + len(code)]
         counts[:] += np.bincount(code, minlength=len(counts))
 
     for text in texts:
@@ -87,17 +94,17 @@ def gram_counts(texts) -> np.ndarray:
     return counts
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SYMBOLS**ORDER, np.int64)
     for batch in batches:
-        counts += gram_counts(batch["text"])
+        counts += gram_counts(t.as_py() for t in batch.column("text"))
     some = np.flatnonzero(counts)
-    yield pd.DataFrame({"gram": some, "n": counts[some]})
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["gram", "n"])
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
     """Log-probability of each symbol after each three; counts are over all documents, the table has 28^4 cells."""
-    grams = docs.select(F.col("text").cast("string")).mapInPandas(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    grams = docs.select(F.col("text").cast("string")).mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SYMBOLS**ORDER)
     counts[grams["gram"].to_numpy(np.int64)] = grams["n"].to_numpy(float)
     table = counts.reshape(-1, SYMBOLS)
@@ -128,7 +135,7 @@ class Restorer:
     """Finds the likeliest letters of tokens under a language model of four symbols."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
+        self.model = memoryview(model.astype(float))
         self.most = model.reshape(-1, SYMBOLS).max(0).tolist()  # no context gives a symbol more
         self.ways = {c: _shows(c) for c in map(chr, range(256))}
         self.symbol = {c: ways[0][1] for c, ways in self.ways.items() if ways[0][2] == 0}
@@ -230,7 +237,8 @@ class Restorer:
         return token.replace(whole, self.decode(whole), 1) if hides else token
 
     def _unspaced(self, text: str | None) -> str:
-        return _SPACED.sub(lambda m: self.decode(_GAPS.sub(" ", m[0])), (text or "").lower())
+        text = (text or "").lower()
+        return _SPACED.sub(lambda m: self.decode(_GAPS.sub(" ", m[0])), text) if _SINGLES.search(" " + text) else text
 
     def restore(self, text: str | None) -> str:
         """The whole text in lower case with the tokens that may hide words decoded."""
@@ -251,13 +259,16 @@ class Restorer:
                 if core == token.strip(_BARE):
                     continue
             out.update(_LETTERS.findall(self._shown(token)))
-        joined, end = " ".join(plain), 0
-        for m in _DOUBLE.finditer(joined):
-            if m.start() >= end:
-                end = joined.find(" ", m.end())
+        joined = " ".join(plain)
+        signs = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        twice = signs[1:] == signs[:-1]
+        end = 0
+        for at in np.flatnonzero(twice).tolist():
+            if at >= end:
+                end = joined.find(" ", at)
                 end = len(joined) if end < 0 else end
-                out.update(_LETTERS.findall(self.decode(joined[joined.rfind(" ", 0, m.start()) + 1 : end])))
-        out.update(w for w in plain if not _TRIPLE.search(w)) if _TRIPLE.search(joined) else out.update(plain)
+                out.update(_LETTERS.findall(self.decode(joined[joined.rfind(" ", 0, at) + 1 : end])))
+        out.update(w for w in plain if not _TRIPLE.search(w)) if (twice[1:] & twice[:-1]).any() else out.update(plain)
         return out
 
 
@@ -341,15 +352,16 @@ class Scorer:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
+        begun = [f[:-1] for f in weights if f.endswith("-")]
+        self.begun = {n: {w for w in begun if len(w) == n} for n in (4, 5)}
 
     def score(self, words: set[str]) -> float:
-        at, get = self.bias, self.weights.get
-        tried = set()
-        for w in words:
-            for f in (w, w[:4] + "-" if len(w) > 4 else None, w[:5] + "-" if len(w) > 5 else None):
-                if f is not None and f not in tried and (v := get(f)) is not None:
-                    tried.add(f)
-                    at += v
+        """words and their beginnings have weights as features_of names them."""
+        found = words & self.weights.keys()
+        for n, begun in self.begun.items():
+            if begun:
+                found |= {w + "-" for w in {w[:n] for w in words if len(w) > n} & begun}
+        at = self.bias + sum(self.weights[f] for f in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(at, -30, 30))))
 
 
@@ -379,10 +391,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, model) -> Scorer:
 
 
 def _scorer(model, scorer: Scorer):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = _restorer(model)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [scorer.score(restorer.words(t)) for t in batch["text"]]})
+            scores = [scorer.score(restorer.words(t.as_py())) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return score
 
@@ -396,7 +409,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(language_model(docs))
     scorer = fit(docs, labels, ~held_out(), model)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = own.mapInPandas(_scorer(model, scorer), "doc_id long, score double")
+    scored = own.mapInArrow(_scorer(model, scorer), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -407,9 +420,9 @@ def clean_rows(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFr
     if not scorer.weights:
         return docs
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:  # one text at a time becomes a Python object
         restorer = _restorer(model)
-        return pd.Series([scorer.score(restorer.words(t)) for t in texts], dtype=float)
+        return pa.array([scorer.score(restorer.words(t.as_py())) for t in texts], pa.float64())
 
     return docs.filter(score(F.col("text").cast("string")) < least)
