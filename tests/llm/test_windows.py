@@ -34,7 +34,7 @@ def edited(rng, words):
 def test_recall_on_edited_passages_in_texts_longer_than_a_chunk():
     """Against an exact search of all windows; one text is longer than what is fingerprinted at once."""
     rng = random.Random(3)
-    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(15, 63)))) for i in range(60)]
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(15, 63)))) for i in range(150)]
     body = [f"w{rng.randrange(5000)}" for _ in range(d.CHUNK + 500)]
     for i, text in items:
         at = rng.randrange(len(body))
