@@ -18,8 +18,8 @@ LANGUAGES = {
     ".py": "python", ".rb": "ruby", ".rs": "rust", ".sh": "shell", ".sql": "sql", ".swift": "swift",
     ".ts": "typescript", ".tsx": "typescriptreact", ".txt": "text", ".yaml": "yaml", ".yml": "yaml",
 }
-#: Directories that are never descended into.
-IGNORED_DIRECTORIES = (".git", ".next", ".nomic", ".turbo", "build", "coverage", "dist", "node_modules", "tmp")
+#: Directories that are never descended into: this library's own, and fixed values.
+IGNORED_DIRECTORIES = (".lodeweave", ".git", ".next", ".turbo", "build", "coverage", "dist", "node_modules", "tmp")
 #: Words that are no query terms.
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "into", "from", "your", "task", "flow", "file")
 #: Words that tell a task's intent, in the order in which they are tried.
@@ -55,12 +55,12 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"(?s)^.+(\.[^.]*)$", 1))
 
 
-def is_indexed(path: Column) -> Column:
+def is_indexed(path: Column, ignored: tuple[str, ...] = IGNORED_DIRECTORIES) -> Column:
     """Whether a file is of an indexed kind and in no ignored directory."""
     name = base_name(path)
     kind = extension(path).isin(*LANGUAGES) | (name == "Dockerfile") | name.endswith(".env.example")
     parents = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
-    return kind & ~F.arrays_overlap(parents, F.array(*[F.lit(d) for d in IGNORED_DIRECTORIES]))
+    return kind & ~F.arrays_overlap(parents, F.array(*[F.lit(d) for d in ignored]))
 
 
 def language(path: Column) -> Column:

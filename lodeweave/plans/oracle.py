@@ -75,20 +75,47 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC
 
 _ALL = ",\n".join([FILES, CHUNKS, TASKS, TERMS, GRAMS, SEMANTIC, SEEDS, EDGES, WALKS, RANKED])
 
-PROMPTS = r"""structural AS (SELECT NULL::BIGINT AS task_id, NULL::VARCHAR AS path, NULL::DOUBLE AS score, NULL::VARCHAR AS role, NULL::INT AS distance, NULL::INT AS n WHERE false)"""
-
-PROMPT_TEXT = r"""lines_of AS (SELECT r.task_id, r.rank, r.path, r.score, 'Purpose: Supporting documentation relevant to the task. Reason: ' || m.reason || ' Public API: None detected Key invariants: Preserve observed behavior while editing this file. Dependencies: None detected' AS summary, m.reason
-  FROM ranked r JOIN semantic m ON m.task_id = r.task_id AND m.path = r.path),
-bodies AS (SELECT t.task_id, t.target, t.text, count(l.path) AS n_included, coalesce(sum(ceil(length(l.summary) / 4)), 0)::BIGINT AS used,
-  coalesce(string_agg(l.path || ' [semantic-support/semantic] score=' || printf('%.1f', l.score) || ' reason=' || l.reason, chr(10) ORDER BY l.rank), 'No retrieval rationale available.') AS rationale,
-  coalesce(string_agg('- ' || l.path || ': ' || l.summary || ' Public API: None. Key invariants: Preserve observed behavior while editing this file.', chr(10) ORDER BY l.rank), 'No summaries generated.') AS summaries
-  FROM texts t LEFT JOIN lines_of l ON l.task_id = t.task_id GROUP BY ALL),
-prompts AS (SELECT task_id, target, n_included, used, concat('# Task', chr(10), text, chr(10), chr(10), '# Operating Constraints', chr(10), 'Use the compiled context first before relying on unstated repository assumptions.', chr(10),
-  'Call out omitted files if they block a safe change.', chr(10), 'Recent session context: none', chr(10), chr(10), '# Retrieval Rationale', chr(10), rationale, chr(10), chr(10), '# Selected Raw Files', chr(10), 'No raw files included.', chr(10), chr(10),
-  '# Compressed Summaries', chr(10), summaries, chr(10), chr(10), '# Dependency Notes', chr(10), 'No dependency notes recorded.', chr(10), chr(10), '# Related Tests', chr(10), 'No related tests selected.', chr(10), chr(10),
-  '# Explicit Omissions', chr(10), 'No omissions recorded.', chr(10), chr(10), '# Token Accounting', chr(10), 'Usage: raw=0, summaries=0, dependencies=', used, ', tests=0, total=', used) AS prompt FROM bodies)"""
-
-_PROMPTS = ",\n".join([FILES, CHUNKS, TASKS, TERMS, GRAMS, SEMANTIC, PROMPTS, RANKED, PROMPT_TEXT])
+REASONS = """told AS (SELECT *, row_number() OVER (PARTITION BY task_id, path ORDER BY seed_rank, distance, o1, o2) AS spot FROM (
+  SELECT task_id, path, 0 AS seed_rank, 0 AS distance, seed_rank AS o1, 0 AS o2, score, reason FROM seeds
+  UNION ALL SELECT s.task_id, e.dst, s.seed_rank, 1, e.ord, 0, greatest(1, s.score - 2 + e.weight), CASE e.kind WHEN 'import' THEN e.dst || ' imported by ' || e.src || ' from seed ' || s.path
+    WHEN 'caller' THEN e.dst || ' calls or is called from ' || e.src ELSE e.dst || ' reached through ' || e.kind || ' edge from ' || e.src END FROM seeds s JOIN steps e ON e.src = s.path
+  UNION ALL SELECT w1.task_id, e.dst, w1.seed_rank, 2, w1.o1, e.ord, greatest(1, w1.base - 4 + e.weight), CASE e.kind WHEN 'import' THEN e.dst || ' imported by ' || e.src || ' from seed ' || w1.seed
+    WHEN 'caller' THEN e.dst || ' calls or is called from ' || e.src ELSE e.dst || ' reached through ' || e.kind || ' edge from ' || e.src END FROM w1 JOIN steps e ON e.src = w1.path)),
+won AS (SELECT task_id, path, spot AS won FROM told QUALIFY row_number() OVER (PARTITION BY task_id, path ORDER BY score DESC, spot) = 1),
+s_reasons AS (SELECT told.task_id, told.path, list_reduce(list(reason ORDER BY spot), lambda a, b: CASE WHEN contains(a, b) THEN a ELSE a || '; ' || b END) AS s_reason
+  FROM told JOIN won ON won.task_id = told.task_id AND won.path = told.path WHERE spot >= won GROUP BY ALL),
+reasoned AS (SELECT r.*, CASE WHEN s_reason IS NULL THEN m.reason WHEN m.reason IS NULL OR contains(s_reason, m.reason) THEN s_reason ELSE s_reason || '; ' || m.reason END AS reason
+  FROM ranked r LEFT JOIN s_reasons s ON s.task_id = r.task_id AND s.path = r.path LEFT JOIN semantic m ON m.task_id = r.task_id AND m.path = r.path)"""
+
+PACKED = """entries AS (SELECT *, ceil(length(content) / 4)::BIGINT AS raw_tokens, ceil(length(summary) / 4)::BIGINT AS short FROM (
+  SELECT r.task_id, r.rank, r.path, r.role, r.stage, r.score, r.reason, f.content, role IN ('primary', 'manual') OR score >= 14 AS prefer, CASE WHEN role IN ('dependency', 'semantic-support') THEN 'dependency' ELSE 'summary' END AS bucket,
+    'Imports ' || up.dst AS note, concat('Purpose: Supporting documentation relevant to the task. Reason: ', r.reason, ' Public API: None detected Key invariants: Preserve observed behavior while editing this file. Dependencies: ', coalesce('Imports ' || up.dst, 'None detected')) AS summary
+    FROM reasoned r JOIN facts f ON f.path = r.path LEFT JOIN up ON up.src = r.path)),
+fold AS (SELECT DISTINCT task_id, 0 AS rank, 0::BIGINT AS raw, 0::BIGINT AS summary, 0::BIGINT AS dependency, []::VARCHAR[] AS items, []::VARCHAR[] AS omitted FROM entries
+  UNION ALL SELECT task_id, rank, raw + CASE WHEN take = 'raw' THEN raw_tokens ELSE 0 END, summary + CASE WHEN take = 'summary' AND bucket = 'summary' THEN short ELSE 0 END,
+    dependency + CASE WHEN take = 'summary' AND bucket = 'dependency' THEN short ELSE 0 END,
+    CASE WHEN take IS NULL THEN items ELSE list_append(items, path || ':' || take) END, CASE WHEN take IS NULL THEN list_append(omitted, path) ELSE omitted END
+    FROM (SELECT e.task_id, e.rank, e.path, e.bucket, e.raw_tokens, e.short, s.raw, s.summary, s.dependency, s.items, s.omitted, CASE WHEN prefer AND s.raw + raw_tokens <= 4000 THEN 'raw'
+      WHEN (bucket = 'summary' AND s.summary + short <= 2000) OR (bucket = 'dependency' AND s.dependency + short <= 1200) THEN 'summary' END AS take
+      FROM fold s JOIN entries e ON e.task_id = s.task_id AND e.rank = s.rank + 1)),
+packed AS (SELECT *, raw + summary + dependency AS total FROM fold QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY rank DESC) = 1)"""
+
+PROMPT_TEXT = r"""parts_of AS (SELECT e.*, CASE WHEN list_contains(p.items, e.path || ':raw') THEN 'raw' WHEN list_contains(p.items, e.path || ':summary') THEN 'summary' END AS take FROM entries e JOIN packed p USING (task_id)),
+notes AS (SELECT task_id, string_agg(note, chr(10) ORDER BY rank) AS notes FROM (SELECT task_id, note, min(rank) AS rank FROM parts_of WHERE take IS NOT NULL AND note IS NOT NULL GROUP BY ALL) GROUP BY task_id),
+bodies AS (SELECT task_id, count(take) AS n_included, string_agg(path || ' [' || role || '/' || stage || '] score=' || printf('%.1f', score) || ' reason=' || reason, chr(10) ORDER BY rank) AS rationale,
+  string_agg(concat('## ', path, chr(10), 'Purpose: ', CASE WHEN role IN ('primary', 'manual') THEN 'Raw implementation preserved because it is a high-priority editing surface.' ELSE 'Raw source preserved because its implementation details are likely material.' END,
+    chr(10), 'Reason: ', reason, chr(10), '```', chr(10), content, chr(10), '```'), chr(10) || chr(10) ORDER BY rank) FILTER (WHERE take = 'raw') AS raws,
+  string_agg(concat('- ', path, ': ', summary, ' Public API: None. Key invariants: Preserve observed behavior while editing this file.'), chr(10) ORDER BY rank) FILTER (WHERE take = 'summary') AS summaries,
+  CASE WHEN count(*) >= 12 THEN ['Ranked candidate set truncated to the top 12 files.'] ELSE [] END AS cut FROM parts_of GROUP BY task_id),
+prompts AS (SELECT t.task_id, t.target, coalesce(n_included, 0) AS n_included, coalesce(dependency, 0) AS used_dependency, coalesce(total, 0) AS used_total, concat('# Task', chr(10), text, chr(10), chr(10), '# Operating Constraints', chr(10), 'Use the compiled context first before relying on unstated repository assumptions.', chr(10),
+  'Call out omitted files if they block a safe change.', chr(10), 'Recent session context: none', chr(10), chr(10), '# Retrieval Rationale', chr(10), coalesce(rationale, 'No retrieval rationale available.'), chr(10), chr(10), '# Selected Raw Files', chr(10), coalesce(raws, 'No raw files included.'), chr(10), chr(10),
+  '# Compressed Summaries', chr(10), coalesce(summaries, 'No summaries generated.'), chr(10), chr(10), '# Dependency Notes', chr(10), coalesce(notes, 'No dependency notes recorded.'), chr(10), chr(10), '# Related Tests', chr(10), 'No related tests selected.', chr(10), chr(10),
+  '# Explicit Omissions', chr(10), coalesce(nullif(array_to_string(list_concat(omitted, cut), chr(10)), ''), 'No omissions recorded.'), chr(10), chr(10), '# Token Accounting', chr(10),
+  'Usage: raw=', coalesce(raw, 0), ', summaries=', coalesce(summary, 0), ', dependencies=', coalesce(dependency, 0), ', tests=0, total=', coalesce(total, 0)) AS prompt
+  FROM texts t LEFT JOIN bodies USING (task_id) LEFT JOIN packed USING (task_id) LEFT JOIN notes USING (task_id))"""
+
+_PACKED = "RECURSIVE " + ",\n".join([_ALL, REASONS, PACKED])
+_PROMPTS = ",\n".join([_PACKED, PROMPT_TEXT])
 
 LOG = f"""log AS (SELECT 'r' || conv_id % 10 AS repo_id, conv_id * 1000 + turn AS seq, conv_id || '-' || turn AS task_id, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
 texts AS (SELECT * FROM log), {TERMS},
@@ -122,21 +149,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT p.task_id, p.path, 1000.0, 'manual', 'manual', 'override' FROM pins p WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.task_id = p.task_id AND r.path = p.path))""",
             _ALL, "pins AS (SELECT t.task_id, f.path FROM texts t JOIN files f ON f.doc_id = t.task_id LEFT JOIN ranked r ON r.task_id = t.task_id AND r.rank = 1 WHERE r.path IS NULL OR r.path <> f.path)",
         ),
-        "budget_pack": _sql(
-            """SELECT task_id, array_to_string(items, ',') AS items, array_to_string(omitted, ',') AS omitted, raw AS used_raw, summary AS used_summary, dependency AS used_dependency, tests AS used_tests, raw + summary + dependency + tests AS used_total
-            FROM fold QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY rank DESC) = 1""",
-            "RECURSIVE " + _ALL,
-            """entries AS (SELECT r.task_id, r.rank, r.path, role IN ('primary', 'manual') OR score >= 14 AS prefer, CASE WHEN role = 'test' THEN 'tests' WHEN role IN ('dependency', 'semantic-support') THEN 'dependency' ELSE 'summary' END AS bucket,
-              ceil(length(content) / 4)::BIGINT AS raw_tokens, ceil(length(content) / 16)::BIGINT AS short FROM ranked r JOIN facts f ON f.path = r.path)""",
-            """fold AS (SELECT DISTINCT task_id, 0 AS rank, 0::BIGINT AS raw, 0::BIGINT AS summary, 0::BIGINT AS dependency, 0::BIGINT AS tests, []::VARCHAR[] AS items, []::VARCHAR[] AS omitted FROM entries
-            UNION ALL SELECT task_id, rank, raw + CASE WHEN take = 'raw' THEN raw_tokens ELSE 0 END, summary + CASE WHEN take = 'summary' AND bucket = 'summary' THEN short ELSE 0 END,
-              dependency + CASE WHEN take = 'summary' AND bucket = 'dependency' THEN short ELSE 0 END, tests + CASE WHEN take = 'summary' AND bucket = 'tests' THEN short ELSE 0 END,
-              CASE WHEN take IS NULL THEN items ELSE list_append(items, path || ':' || take) END, CASE WHEN take IS NULL THEN list_append(omitted, path) ELSE omitted END
-              FROM (SELECT e.*, s.raw, s.summary, s.dependency, s.tests, s.items, s.omitted, CASE WHEN prefer AND s.raw + raw_tokens <= 4000 THEN 'raw'
-                WHEN (bucket = 'summary' AND s.summary + short <= 2000) OR (bucket = 'dependency' AND s.dependency + short <= 1200) OR (bucket = 'tests' AND s.tests + short <= 800) THEN 'summary' END AS take
-                FROM fold s JOIN entries e ON e.task_id = s.task_id AND e.rank = s.rank + 1))""",
-        ),
-        "compiled_prompts": _sql("SELECT task_id, target, substr(sha1(prompt), 1, 12) AS prompt_id, ceil(length(prompt) / 4)::BIGINT AS token_estimate, n_included::INT AS n_included, used AS used_dependency, used AS used_total FROM prompts", _PROMPTS),
+        "budget_pack": _sql("SELECT task_id, array_to_string(items, ',') AS items, array_to_string(omitted, ',') AS omitted, raw AS used_raw, summary AS used_summary, dependency AS used_dependency, 0::BIGINT AS used_tests, total AS used_total FROM packed", _PACKED),
+        "compiled_prompts": _sql("SELECT task_id, target, substr(sha1(prompt), 1, 12) AS prompt_id, ceil(length(prompt) / 4)::BIGINT AS token_estimate, n_included::INT AS n_included, used_dependency, used_total FROM prompts", _PROMPTS),
         "agent_payloads": _sql(
             """SELECT task_id, target, md5(CASE WHEN target = 'claude' THEN 'You are Claude operating on a compiled engineering brief. Use the supplied repository context, explain your reasoning briefly, and avoid relying on files outside the provided scope.'
             ELSE 'You are Codex working inside a repository-aware workflow. Use the provided compiled context first, preserve behavior unless the task requires change, and call out omitted files when blocked.' END) AS system_md5,
