@@ -13,8 +13,8 @@ the loss if it is an assistant's text.
 Defined cases: null text or role is empty; turns sort by (turn, role, text) with nulls first, so
 ties and repeated rows have one order; a null conv_id is a conversation of its own; an empty table
 gives no rows; further columns are ignored. A conversation is one value of the output, so it must
-fit a row (2 GB); its turns are formatted where they are read, before they are shuffled, and
-grouped in runs of RUN turns first, so a task gathers runs, not turns, of a hot conversation.
+fit a row (2 GB), however long its texts are; turns are grouped in runs of RUN turns first, so a
+task gathers runs, not turns, of a hot conversation.
 """
 
 from __future__ import annotations
@@ -50,8 +50,9 @@ def _plain_role(role: Column) -> Column:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, segments(text, loss): one row a conversation."""
-    one = F.struct(F.col("turn"), _role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
-    runs = turns.groupBy("conv_id", F.floor(F.col("turn") / RUN).alias("run")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    one = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    coded = lambda t: F.struct(t["turn"].alias("turn"), _role(t["role"]).alias("role"), escape(t["text"]).alias("text"))
+    runs = turns.groupBy("conv_id", F.floor(F.col("turn") / RUN).alias("run")).agg(F.transform(F.sort_array(F.collect_list(one)), coded).alias("turns"))
     whole = runs.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("run", "turns"))), lambda x: x["turns"]).alias("runs")).select("conv_id", F.flatten("runs").alias("turns"))
     # Struct of the turn and the role before it, so that each turn knows whether it opens a block.
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform("turns", lambda t: t["role"]))

@@ -8,6 +8,10 @@ from lodeweave.llm import chat, decontaminate, exact_dedup, language, quality, s
 from lodeweave.llm.common import table
 
 
+#: The shard limit of op10's query: small, so that tables of every size split.
+SHARD_BYTES = 256 << 10
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -28,7 +32,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.sql("SELECT -7L AS conv_id, turn, role, :said AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)", args={"said": said})
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat.digests(chat.format_conversations(turns))
 
@@ -54,7 +58,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
 def queries() -> dict:
@@ -90,10 +94,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 
 OP10_SQL = f"""
 WITH r AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS hash FROM documents),
-x AS (SELECT depth, hash >> ({sharding.HASH_BITS} - depth)::INT AS bucket, n_bytes FROM r, range(0, 40) AS t(depth)),
+x AS (SELECT depth, hash >> ({sharding.HASH_BITS} - depth)::INT AS bucket, n_bytes FROM r, range(0, {sharding.HASH_BITS + 1}) AS t(depth)),
 s AS (SELECT depth, bucket, sum(n_bytes)::BIGINT AS shard_bytes FROM x GROUP BY ALL),
 l AS (SELECT c.* FROM s AS c LEFT JOIN s AS p ON p.depth = c.depth - 1 AND p.bucket = c.bucket >> 1
-  WHERE c.shard_bytes <= {sharding.SHARD_BYTES} AND (c.depth = 0 OR p.shard_bytes > {sharding.SHARD_BYTES}))
+  WHERE c.shard_bytes <= {SHARD_BYTES} AND (c.depth = 0 OR p.shard_bytes > {SHARD_BYTES}))
 SELECT doc_id, n_bytes, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(l.bucket), l.depth::INT, '0') END AS shard, l.depth::INT AS depth, l.shard_bytes
 FROM r JOIN l ON hash >> ({sharding.HASH_BITS} - l.depth)::INT = l.bucket
 """
