@@ -43,14 +43,13 @@ def test_recall_on_edited_passages_in_texts_longer_than_a_chunk():
     got = list(d.Items(items).matches(texts))
     assert got[1:3] == [[], []] and [m[0] for m in got[3]] == [7]
     want = {}
-    index = {}
-    for i in range(len(body) - 4):
-        index.setdefault(tuple(body[i : i + 5]), []).append(i)
+    every = d.shingles(body, 5)
+    codes = np.array(list(map(hash, every)))
     for item, text in items:
-        own = text.split()
-        target = d.shingles(own, 5)
-        starts = {p - k + e for k in range(len(own) - 4) for p in index.get(tuple(own[k : k + 5]), ()) for e in range(-4, 5)}
-        likes = [d.similarity(d.shingles(body[s : s + len(own)], 5), target) for s in starts if 0 <= s <= len(body) - len(own)]
+        target = d.shingles(text.split(), 5)
+        held = np.concatenate([[0], np.cumsum(np.isin(codes, list(map(hash, set(target)))))])
+        n = len(target)
+        likes = [d.similarity(every[s : s + n], target) for s in np.flatnonzero(held[n:] - held[:-n] >= 0.8 * n - 1e-9).tolist()]
         if likes and max(likes) >= d.SIMILARITY - 1e-12:
             want[item] = round(max(likes), 9)
     have = {m[0]: round(m[3], 9) for m in got[0]}
