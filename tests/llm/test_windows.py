@@ -27,7 +27,7 @@ def edited(rng, words):
     out = list(words)
     for _ in range(rng.randint(1, 3)):
         at = rng.randrange(len(out))
-        out[at : at + rng.randint(0, 1)] = [f"x{rng.random()}"] * rng.randint(0, 1)
+        out[at : at + rng.randint(0, 1)] = [f"x{rng.randrange(10**9)}"] * rng.randint(0, 1)
     return out
 
 
