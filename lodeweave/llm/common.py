@@ -6,10 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from lodeweave.sources.shared import shared_dir, staged
 
-__all__ = ["crc_bucket", "keep_ids", "shared_dir", "small_enough", "spread", "staged", "table", "text_of"]
+__all__ = ["crc_bucket", "join_often", "keep_ids", "row_order", "shared_dir", "small_enough", "spread", "staged", "table", "text_of"]
 
 #: A side is broadcast when rows times bytes a row stay under this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -34,6 +35,26 @@ def keep_ids(df: DataFrame, ids: DataFrame, column: str, rows: int, how: str = "
     return df.join(other, df[column].eqNullSafe(other["__id"]), how)
 
 
+#: Rows of one key that make it a hot one.
+OFTEN = 1 << 17
+
+
+def join_often(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join on a key that keyed has once, with the number of its rows in column n.
+
+    Hot keys, of which there are at most all rows / OFTEN, are broadcast, so their rows aren't shuffled to one task.
+    """
+    often = F.broadcast(keyed.filter(F.col(n) > OFTEN))
+    rest = rows.join(often.select(key), key, "left_anti").join(keyed.filter(F.col(n) <= OFTEN), key)
+    return rows.join(often, key).unionByName(rest)
+
+
+def row_order(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """A number that tells rows apart by their plain columns, so that ties have one order."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, AtomicType) and (columns is None or f.name in columns)]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

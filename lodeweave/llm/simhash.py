@@ -12,7 +12,8 @@ fingerprints at most. Each bucket returns a spanning forest of its close pairs,
 Defined cases: null or blank text has fingerprint zero and links like any other; fewer than three
 words are one shingle; rows with equal fingerprints are one class whatever their number; repeated
 rows stay repeated; a class whose ids are all null has a null component id; an empty table gives an
-empty result; further columns of the input are ignored.
+empty result; further columns of the input are ignored by `near_groups` and carried by `one_of_each`,
+whatever their names; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import small_enough, staged
+from lodeweave.llm.common import join_often, row_order, small_enough, staged
 from lodeweave.llm.components import connected_components
 
 RADIUS = 3
@@ -158,7 +159,7 @@ def close_links(prints: DataFrame, radius: int = RADIUS, limit: int = BUCKET) ->
 
 
 def classes_of(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """print, root (the class's own print), component_id, class_rows: a row for each fingerprint of prints(doc_id, print).
+    """print, n (its rows), root (the class's own print), component_id, class_rows: a row for each fingerprint of prints(doc_id, print).
 
     links gives the links (a, b) of the distinct fingerprints (print, n rows).
     """
@@ -166,7 +167,7 @@ def classes_of(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> Da
     roots = staged(connected_components(links(own.select("print", "n"))))
     rooted = own.join(roots, own["print"] == roots["node"], "left").select("print", "first", "n", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("class_rows"))
-    return rooted.join(least, "root").select("print", "root", "component_id", "class_rows")
+    return rooted.join(least, "root").select("print", "n", "root", "component_id", "class_rows")
 
 
 def _classes(prints: DataFrame, radius: int) -> DataFrame:
@@ -176,28 +177,34 @@ def _classes(prints: DataFrame, radius: int) -> DataFrame:
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (the smallest doc_id that links reach): a row for each row."""
     prints = staged(fingerprints(docs))
-    named = _classes(prints, radius).select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    named = staged(_classes(prints, radius).select("print", "component_id", "n"))
+    return join_often(prints, named, "print", "n").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _print_of(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter((majority(shingle_hashes(x)) for x in texts), np.uint64, len(texts)).view(np.int64))
+def _print_of(texts: pa.Array) -> pa.Array:
+    return pa.array(np.fromiter((majority(shingle_hashes(x.as_py())) for x in texts), np.uint64, len(texts)).view(np.int64))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id (a null id after all others; of rows that share it, one)."""
-    own = staged(docs.withColumn("__print", F.pandas_udf(_print_of, "long")(F.col("text").cast("string"))))
-    classes = _classes(own.select(F.col("doc_id").cast("long"), F.col("__print").alias("print")), radius)
-    return first_of_each(own, classes, docs.columns)
+    own = staged(packed_rows(docs).withColumn("print", F.arrow_udf(_print_of, "long")("text")))
+    classes = _classes(own.select(F.col("id").alias("doc_id"), "print"), radius)
+    return first_of_each(own, classes)
 
 
-def first_of_each(own: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of own (with __print) for one row of each class."""
-    many = staged(classes.filter("class_rows > 1").select(F.col("print").alias("__of"), F.col("root").alias("__root"), F.col("component_id").alias("__first")))
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), id, text, place: whatever docs' columns are called, they can't clash with names of ours."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), row_order(docs).alias("place"))
+
+
+def first_of_each(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """The columns in own.row for one row of each class; own: row, id, text, place, print."""
+    many = staged(classes.filter("class_rows > 1").select(F.col("print").alias("of"), "root", F.col("component_id").alias("first")))
     if small_enough(many.count(), 48):
         many = F.broadcast(many)
-    shared = own["__print"] == many["__of"]
-    single = own.join(many, shared, "left_anti").select(*[own[f"`{c}`"] for c in columns])
-    firsts = own.join(many, shared & own["doc_id"].eqNullSafe(many["__first"]))
-    kept = firsts.groupBy("__root").agg(F.min_by(F.struct(*[own[f"`{c}`"] for c in columns]), F.struct("__print", F.length("text"))).alias("__row")).select("__row.*")
+    shared = own["print"] == many["of"]
+    single = own.join(many, shared, "left_anti").select("row.*")
+    firsts = own.join(many, shared & own["id"].eqNullSafe(many["first"]))
+    kept = firsts.groupBy("root").agg(F.min_by("row", F.struct("print", F.length("text"), "place")).alias("row")).select("row.*")
     return single.unionByName(kept)
