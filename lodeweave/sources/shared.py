@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+#: Paths written inside each open temporary_tables().
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what staged() wrote in between, unless it was to last."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def staged(df: DataFrame, partition_by: tuple[str, ...] = (), lasting: bool = False) -> DataFrame:
     """Write df once to a new table in the shared folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read, and values that depend on how tasks were
     dealt (partition ids) stay what they were. Parquet keeps the table small.
     """
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    if _SCOPES and not lasting:
+        _SCOPES[-1].append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
