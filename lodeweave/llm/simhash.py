@@ -187,24 +187,24 @@ def _print_of(texts: pa.Array) -> pa.Array:
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id (a null id after all others; of rows that share it, one)."""
-    own = staged(packed_rows(docs).withColumn("print", F.arrow_udf(_print_of, "long")("text")))
+    own = staged(packed_rows(docs).withColumn("print", F.arrow_udf(_print_of, "long")(F.col("row.text").cast("string"))))
     classes = _classes(own.select(F.col("id").alias("doc_id"), "print"), radius)
     return first_of_each(own, classes)
 
 
 def packed_rows(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs), id, text, place: whatever docs' columns are called, they can't clash with names of ours."""
+    """row (all columns of docs), id, size (of the text), place: whatever docs' columns are called, they can't clash with names of ours."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), row_order(docs).alias("place"))
+    return docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("id"), F.length(F.col("text").cast("string")).alias("size"), row_order(docs).alias("place"))
 
 
 def first_of_each(own: DataFrame, classes: DataFrame) -> DataFrame:
-    """The columns in own.row for one row of each class; own: row, id, text, place, print."""
+    """The columns in own.row for one row of each class; own: row, id, size, place, print."""
     many = staged(classes.filter("class_rows > 1").select(F.col("print").alias("of"), "root", F.col("component_id").alias("first")))
     if small_enough(many.count(), 48):
         many = F.broadcast(many)
     shared = own["print"] == many["of"]
     single = own.join(many, shared, "left_anti").select("row.*")
     firsts = own.join(many, shared & own["id"].eqNullSafe(many["first"]))
-    kept = firsts.groupBy("root").agg(F.min_by("row", F.struct("print", F.length("text"), "place")).alias("row")).select("row.*")
+    kept = firsts.groupBy("root").agg(F.min_by("row", F.struct("print", "size", "place")).alias("row")).select("row.*")
     return single.unionByName(kept)
