@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from lodeweave.llm import exact_dedup, near_copies
+from lodeweave.llm import exact_dedup, near_copies, simhash
 from lodeweave.llm.common import table
 from tests.llm.test_dedup import DOCS, ODD, roots
 
@@ -45,6 +47,19 @@ def test_stage_matches_brute_force(spark):
     assert near_copies.one_of_each(df.limit(0)).count() == 0
 
 
+def test_clashing_names_ties_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, long, 1), (2, long + " end", 2), (3, "a b c", 3), (3, "a b c", 4), (None, "a b c", 5), (None, "q", 7), (None, "q", 6), (4, None, 8), (5, "", 9)]
+    names = "`__print`", "`__ROOT`", "row", "id", "place", "size", "facts", "print", "bits", "n", "key", "of", "first", "root"
+    df = spark.createDataFrame(rows, "doc_id long, text string, x long").selectExpr("*", *[f"x as {n}" for n in names], "map(x, x) as m")
+    for stage in (near_copies.one_of_each, simhash.one_of_each, exact_dedup.distinct_rows):
+        runs = [sorted((str(r.doc_id), r.x, r["__ROOT"], r.size) for r in stage(d).collect()) for d in (df, df.repartition(3), df.orderBy(F.desc("x")).coalesce(1))]
+        assert runs[0] == runs[1] == runs[2]
+        ids = [r[0] for r in runs[0]]
+        assert ids == (["1", "3", "4", "None"] if stage != exact_dedup.distinct_rows else ["1", "2", "3", "4", "None"])
+        assert stage(df).columns == df.columns
+
+
 def test_pipeline_stage_finds_the_near_copies_of_the_documents(spark):
     docs = exact_dedup.distinct_rows(table(spark, "/root/testdata/sf0.01", "documents"))
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()}
