@@ -37,6 +37,18 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows that Spark hands to Python at once: what is planned in between holds fewer texts in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, partition_by: tuple[str, ...] = (), lasting: bool = False) -> DataFrame:
     """Write df once to a new table in the shared folder and read it back.
 
