@@ -4,7 +4,8 @@ Scores of chunks go through an inverted index: tokens of chunks are counted once
 tokens that some task asks for are joined. A term consists of letters and digits, so a text holds
 it exactly if one of the text's tokens does; which tokens hold which terms is found over the
 distinct tokens, by exploding their substrings of the terms' lengths. No pair of task and chunk
-costs a string operation.
+costs a string operation, but pairs that share any token or term are rows: common words make them grow
+with tasks times chunks.
 """
 
 from __future__ import annotations
