@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import chat, decontaminate, exact_dedup, language, quality, sentencepiece_bpe, sharding, simhash, toxicity, warc
+from lodeweave.llm import chat, decontaminate, exact_dedup, language, phrases, quality, sentencepiece_bpe, sharding, simhash, spelling, toxicity, warc
 from lodeweave.llm.common import table
 
 
 #: The shard limit of op10's query: small, so that tables of every size split.
 SHARD_BYTES = 256 << 10
+#: op12's query misspells the runs of a document whose checksums this divides.
+NOISE = 31
 
 
 def tokenizer_path() -> str:
@@ -61,8 +63,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), noise=NOISE)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_exact_dedup, op4_chat_format, op5_toxicity, op6_quality, op7_language_id, op8_simhash_dedup, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_exact_dedup, op4_chat_format, op5_toxicity, op6_quality, op7_language_id, op8_simhash_dedup, op9_warc, op10_sharding, op12_spelling, op13_collocations)}
 
 
 OP3_SQL = r"""
@@ -103,5 +113,45 @@ FROM r JOIN l ON hash >> ({sharding.HASH_BITS} - l.depth)::INT = l.bucket
 """
 
 
+#: crc32 by its table of 256 entries; letters above U+00BF become one-byte signs, so that distances count code points.
+OP12_SQL = """
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(id || ':' || run)) + 1),
+  lambda i: ('0x' || substr(hex(encode(id || ':' || run)), 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) AS h FROM d, t),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS size, translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!"#$%&()*+,-./:;<=>?@[]^_{|}') AS code
+  FROM m GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+x AS (SELECT w.*, unnest(range(1, size + 1)) AS i FROM w),
+v AS (SELECT word, n, size, i, substr(code, 1, i - 1) || substr(code, i + 1) AS rest FROM x),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM v AS a JOIN v AS b ON a.i = b.i AND a.rest = b.rest AND a.size = b.size AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM v AS a JOIN w AS b ON a.rest = b.code UNION SELECT b.word, a.word, a.n FROM v AS a JOIN w AS b ON a.rest = b.code),
+g AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM p GROUP BY word),
+b AS (SELECT p.word, min(p.other) AS best FROM p JOIN g ON p.word = g.word AND p.other_n = g.top GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN best END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n
+  FROM w LEFT JOIN g ON w.word = g.word LEFT JOIN b ON w.word = b.word),
+c AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL),
+e AS (SELECT c.word, coalesce(c5.root, c4.root, c3.root, c2.root, c1.root, c.root) AS root, c5.root AS deep FROM c LEFT JOIN c AS c1 ON c1.word = c.root LEFT JOIN c AS c2 ON c2.word = c1.root
+  LEFT JOIN c AS c3 ON c3.word = c2.root LEFT JOIN c AS c4 ON c4.word = c3.root LEFT JOIN c AS c5 ON c5.word = c4.root)
+SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN e ON f.word = e.word
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE q AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+s AS (SELECT lang, list_filter(regexp_split_to_array(unnest(pieces), '[\x20\x09]+'), lambda x: x <> '') AS words FROM q),
+g AS (SELECT lang, k, array_to_string(list_slice(words, i, i + k - 1), ' ') AS phrase FROM s, range(1, 6) AS r(k), unnest(range(1, len(words) - k + 2)) AS u(i)),
+c AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(words))::BIGINT AS n FROM s GROUP BY lang),
+u AS (SELECT c.*, string_split(phrase, ' ') AS words, unnest(range(1, k)) AS cut FROM c WHERE k > 1),
+z AS (SELECT u.lang, u.k, u.phrase, u.a, cut, l.a AS l, r.a AS r, t.n, ((1000::HUGEINT * u.a * t.n) // (l.a::HUGEINT * r.a))::BIGINT AS score FROM u
+  JOIN c AS l ON l.lang = u.lang AND l.phrase = array_to_string(list_slice(words, 1, cut), ' ')
+  JOIN c AS r ON r.lang = u.lang AND r.phrase = array_to_string(list_slice(words, cut + 1, u.k), ' ') JOIN t ON t.lang = u.lang),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM c AS x WHERE x.lang = b.lang AND x.k > b.k AND x.a >= b.a AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_warc": OP9_SQL, "op10_sharding": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_warc": OP9_SQL, "op10_sharding": OP10_SQL, "op12_spelling": OP12_SQL, "op13_collocations": OP13_SQL}
