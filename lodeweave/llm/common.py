@@ -10,7 +10,7 @@ from pyspark.sql.types import AtomicType
 
 from lodeweave.sources.shared import shared_dir, staged
 
-__all__ = ["crc_bucket", "join_often", "keep_ids", "row_order", "shared_dir", "small_enough", "spread", "staged", "table", "text_of"]
+__all__ = ["crc_bucket", "folder_names", "join_often", "keep_ids", "make_folder", "row_order", "shared_dir", "small_enough", "spread", "staged", "table", "text_of"]
 
 #: A side is broadcast when rows times bytes a row stay under this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -20,6 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark reads; none if there is no such folder."""
+    system, where = _folder(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, where = _folder(spark, path)
+    system.mkdirs(where)
+
+
 def small_enough(rows: int, bytes_a_row: int) -> bool:
     return rows * bytes_a_row <= BROADCAST_BYTES
 

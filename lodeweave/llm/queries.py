@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import chat, decontaminate, exact_dedup, language, phrases, quality, sentencepiece_bpe, sharding, simhash, spelling, toxicity, warc
+from lodeweave.llm import chat, decontaminate, exact_dedup, language, lines, phrases, quality, sentencepiece_bpe, sharding, simhash, spelling, toxicity, warc
 from lodeweave.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), noise=NOISE)
 
@@ -72,7 +76,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_exact_dedup, op4_chat_format, op5_toxicity, op6_quality, op7_language_id, op8_simhash_dedup, op9_warc, op10_sharding, op12_spelling, op13_collocations)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_exact_dedup, op4_chat_format, op5_toxicity, op6_quality, op7_language_id, op8_simhash_dedup, op9_warc, op10_sharding, op11_line_dedup, op12_spelling, op13_collocations)}
 
 
 OP3_SQL = r"""
@@ -113,6 +117,15 @@ FROM r JOIN l ON hash >> ({sharding.HASH_BITS} - l.depth)::INT = l.bucket
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, r, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'null')) >= 3),
+m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r
+"""
+
 #: crc32 by its table of 256 entries; letters above U+00BF become one-byte signs, so that distances count code points.
 OP12_SQL = """
 WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
@@ -154,4 +167,4 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_warc": OP9_SQL, "op10_sharding": OP10_SQL, "op12_spelling": OP12_SQL, "op13_collocations": OP13_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_warc": OP9_SQL, "op10_sharding": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_spelling": OP12_SQL, "op13_collocations": OP13_SQL}

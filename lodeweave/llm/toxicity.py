@@ -283,15 +283,15 @@ def features_of(words: set[str]) -> set[str]:
     return out
 
 
-_RESTORERS: dict[int, Restorer] = {}
+#: The restorer of this worker and the table it was made of: held, so that no other table can have its identity.
+_RESTORER: list = []
 
 
 def _restorer(model) -> Restorer:
     """One for each broadcast model in a worker."""
-    if id(model.value) not in _RESTORERS:  # a Restorer holds its table, so the id stays its own
-        _RESTORERS.clear()
-        _RESTORERS[id(model.value)] = Restorer(model.value)
-    return _RESTORERS[id(model.value)]
+    if not _RESTORER or _RESTORER[0] is not model.value:
+        _RESTORER[:] = [model.value, Restorer(model.value)]
+    return _RESTORER[1]
 
 
 def _feature_counter(model):

@@ -5,8 +5,8 @@ each payload's bytes once under its SHA-256. A record is header + payload + end
 a join on the digest; the digest is checked against the bytes when they are read.
 
 Defined cases: a null payload is empty; payloads under MIN_SHARED bytes are never shared as revisits,
-though their bytes are stored once too; of equal payloads the smallest page_id is the response
-(rows that repeat that id are responses all); rows equal throughout share a record id; a null url becomes
+though their bytes are stored once too; of equal payloads the smallest page_id is the response (a null id after
+all others: pages without one revisit it, and are responses all if no page has one; rows that repeat that id are responses all); rows equal throughout share a record id; a null url becomes
 an empty target; payloads of any length that fit a row are kept whole; an empty table gives an empty
 archive; further columns of the input are ignored. A header has no CR or LF from a
 url: they are percent-coded.
@@ -39,9 +39,9 @@ def record_headers(pages: DataFrame, captured: str = "2024-01-01T00:00:00Z") ->
     """page_id, digest, record_type, refers_to, header: the header block of each page's record."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.sha2(payload, 256).alias("digest"), F.length(payload).cast("long").alias("payload_bytes"))
-    first = own.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = own.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
     none = F.lit(None).cast("long")
-    found = join_often(own, staged(first), "digest", "n").withColumn("refers_to", F.when((F.col("payload_bytes") >= MIN_SHARED) & (F.col("page_id") != F.col("first.page_id")), F.col("first.page_id")).otherwise(none))
+    found = join_often(own, staged(first), "digest", "n").withColumn("refers_to", F.when((F.col("payload_bytes") >= MIN_SHARED) & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first.page_id")).otherwise(none))
     revisit = F.col("refers_to").isNotNull()
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
@@ -62,12 +62,13 @@ def record_headers(pages: DataFrame, captured: str = "2024-01-01T00:00:00Z") ->
 
 
 def payloads(pages: DataFrame) -> DataFrame:
-    """digest, payload, n (its pages): each distinct payload once. Equal digests with unequal bytes end the job."""
+    """digest, payload, n (records that hold its bytes: one of those that are shared): each distinct payload once. Equal digests with unequal bytes end the job."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    one = pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
-    stored = one.groupBy("digest").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("payload")).alias("low"), F.max(F.xxhash64("payload")).alias("high"))
+    one = pages.select("page_id", F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+    stored = one.groupBy("digest").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n"), F.count("page_id").alias("ids"), F.min(F.xxhash64("payload")).alias("low"), F.max(F.xxhash64("payload")).alias("high"))
     same = F.when(F.col("low") != F.col("high"), F.raise_error(F.concat(F.lit("two payloads share digest "), F.col("digest"))))
-    return stored.select("digest", "payload", "n", F.coalesce(same.cast("boolean"), F.lit(True)).alias("same")).filter("same").drop("same")
+    shared = (F.length("payload") >= MIN_SHARED) & (F.col("ids") > 0)
+    return stored.select("digest", "payload", F.when(shared, 1).otherwise(F.col("n")).alias("n"), F.coalesce(same.cast("boolean"), F.lit(True)).alias("same")).filter("same").drop("same")
 
 
 def write_archive(pages: DataFrame, path: str) -> None:

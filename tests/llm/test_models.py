@@ -179,3 +179,17 @@ def test_additive_model_learns_an_interaction():
     fitted = quality.fit(x, y)
     assert {(i, j) for i, j, *_ in fitted.pairs} >= {(0, 1)}
     assert ((fitted.score(x) >= 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_each_model_has_a_restorer_of_its_own():
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):  # tables come and go, and may take each other's place in memory
+        table_ = rng.random((toxicity.SYMBOLS**3, toxicity.SYMBOLS))
+        first = toxicity._restorer(Sent(table_))
+        assert toxicity._restorer(Sent(table_)) is first
+        assert np.array_equal(np.asarray(first.model).ravel(), table_.ravel())
+        del table_

@@ -48,6 +48,14 @@ def test_tampered_payload_is_found(spark, tmp_path):
         warc.read_archive(spark, f"file://{tmp_path}/a").collect()
 
 
+def test_pages_without_an_id_revisit_the_smallest_one(spark, tmp_path):
+    rows = [(None, "http://a/", BIG), (5, "http://b/", BIG), (2, "http://c/", BIG), (None, "u", "y" * 150), (None, "v", "y" * 150), (None, "w", None)]
+    got = ((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived_pages(pages(spark, rows), f"file://{tmp_path}/a").collect())
+    size = len(BIG.encode())
+    want = [("None", size, "revisit", 2), ("5", size, "revisit", 2), ("2", size, "response", None), *[("None", 150, "response", None)] * 2, ("None", 0, "response", None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_empty_archive(spark, tmp_path):
     assert warc.archived_pages(pages(spark, []), f"file://{tmp_path}/a").count() == 0
 
