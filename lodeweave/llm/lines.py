@@ -42,11 +42,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm.common import BROADCAST_BYTES, folder_names, make_folder, shared_dir, small_enough, staged
+from lodeweave.sources.shared import batch_rows
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 BLANKS = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 20
 SLOTS, ROUNDS, LOAD = 4, 64, 0.85
+#: Rows with whole texts that go to Python at once.
+TEXTS_AT_ONCE = 1000
 REFS, COUNTS, FILTERS = "shard int, hi long, lo long, doc_id long", "shard int, hi long, lo long, n long, last long", "shard int, size int, slots binary"
 
 
@@ -359,8 +362,10 @@ def without_repeated_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
 
 def line_digests(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of docs against an index of their own lines."""
-    index = LineIndex(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/lines-{uuid.uuid4().hex}", least_chars, least_docs)
-    index.insert(docs.select("doc_id", "text"))
-    rows = index.repeated_lines(docs.select("doc_id", "text"))
+    spark = docs.sparkSession
+    index = LineIndex(spark, f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}", least_chars, least_docs)
     facts = F.arrow_udf(_digest(least_chars), "struct<n_lines:long,n_dropped:long,kept_sha256:string>")(F.col("row.text").cast("string"), "drop")
-    return rows.select(F.col("row.doc_id").alias("doc_id"), facts.alias("x")).select("doc_id", "x.*")
+    with batch_rows(spark, TEXTS_AT_ONCE):
+        index.insert(docs.select("doc_id", "text"))
+        rows = index.repeated_lines(docs.select("doc_id", "text"))
+        return staged(rows.select(F.col("row.doc_id").alias("doc_id"), facts.alias("x")).select("doc_id", "x.*"))

@@ -12,8 +12,8 @@
 4. Rank. The first `top` of each language: the first of each of SLICES slices, then of what they leave.
 
 Defined cases: null text is empty; null lang is `und`; ties go to the smaller cut, then to the smaller phrase in
-byte order; repeated rows count again; texts of any length are read whole (a task holds CHUNK words and one
-text at a time); an empty table gives an empty result; further columns of the input are ignored.
+byte order; repeated rows count again; texts of any length are read whole (a task looks at about CHUNK bytes
+at a time); an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,31 +32,56 @@ from lodeweave.llm.common import staged
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 SLICES = 32
-#: Words that a task looks at together, phrases whose counts it holds, and words whose hashes it keeps.
-CHUNK, HELD, KEPT = 1 << 17, 1 << 18, 1 << 18
+#: Bytes of text that a task looks at together, and phrases whose counts it holds.
+CHUNK, HELD = 1 << 20, 1 << 19
 MOST_BITS, BITS_EACH, SEGMENT = 28, 16, 19
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    """Hashes of words, kept for the KEPT words that came first."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end between blanks, tabs and line ends, and a hash of each."""
+    gap = (data == 32) | (data == 9) | (data == 10)
+    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    if not len(starts):
+        return starts, ends, np.empty(0, np.uint64)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    powers = np.cumprod(np.full(int(size.max()), STEP, np.uint64))
+    inside = (data[~gap].astype(np.uint64) + np.uint64(1)) * powers[np.arange(int(size.sum())) - np.repeat(first, size)]
+    return starts, ends, np.add.reduceat(inside, first)
+
+
+def _windows(data: bytes, k: int) -> Iterator[bytes]:
+    """A long text in parts of about CHUNK bytes; each begins with the last k - 1 words of the one before."""
+    before = lambda at: max(data.rfind(c, 0, at) for c in (b" ", b"\t", b"\n"))
+    begin = end = 0
+    while end < len(data):
+        end = max(begin + CHUNK, end + 1)
+        after = [at for at in (data.find(c, end) for c in (b" ", b"\t", b"\n")) if at >= 0]
+        end = min(after, default=len(data))
+        yield data[begin:end]
+        begin = end
+        for _ in range(k - 1):
+            while begin > 0 and data[begin - 1] in b" \t\n":
+                begin -= 1
+            begin = before(begin) + 1
+
+
+def _mixed(columns: list[np.ndarray], langs: np.ndarray) -> np.ndarray:
+    """A hash of n-grams of a language, from their words' hashes in order."""
+    total = langs.copy()
+    for column in columns:
+        total = total * STEP + column
+    total ^= total >> np.uint64(32)
+    return total * MIX
 
 
 def _gram_hashes(words: np.ndarray, langs: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k words from each place on."""
     n = max(0, len(words) - k + 1)
-    total = langs[:n].copy()
-    for j in range(k):
-        total = total * STEP + words[j : j + n]
-    total ^= total >> np.uint64(32)
-    return total * MIX
+    return _mixed([words[j : j + n] for j in range(k)], langs[:n])
 
 
 def _rows(held: dict[str, Counter]) -> pa.RecordBatch:
@@ -71,42 +96,60 @@ def _exploder(k: int, bits: int, frequent):
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        hashes = _Hashes()
-        words: list[bytes] = []
-        sizes: list[int] = []
+        parts: list[bytes] = []
         langs: list[str] = []
-
-        def look() -> None:
-            """Count the n-grams of the words at hand that can be frequent."""
-            piece = np.repeat(np.arange(len(sizes)), sizes)
-            seed = np.repeat(np.fromiter((hashes[x.encode()] for x in langs), np.uint64, len(langs)), sizes)
-            own = _gram_hashes(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), seed, k - 1)
-            place = own >> np.uint64(64 - bits)
-            known = frequent.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1
-            begin = np.flatnonzero(known[:-1] & known[1:] & (piece[: len(words) - k + 1] == piece[k - 1 :]))
-            for i, p in zip(begin.tolist(), piece[begin].tolist()):
-                held.setdefault(langs[p], Counter())[b" ".join(words[i : i + k])] += 1
+        size = 0
+
+        def look(parts: list[bytes], langs: list[str]) -> None:
+            """Count the n-grams of some texts that can be frequent."""
+            text = b"\n".join(parts)
+            data = np.frombuffer(text, np.uint8)
+            starts, ends, words = _words(data)
+            n = len(starts) - k + 1
+            if n <= 0:
+                return
+            names = sorted(set(langs))
+            number = np.array([names.index(x) for x in langs])
+            lang = number[np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), starts, side="right")]
+            seeds = np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)
+            place = _gram_hashes(words, seeds[lang], k - 1) >> np.uint64(64 - bits)
+            known = (frequent.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            piece = np.searchsorted(np.flatnonzero(data == 10), starts)
+            begin = np.flatnonzero(known[:-1] & known[1:] & (piece[:n] == piece[k - 1 :]))
+            wide = np.cumsum(np.concatenate([[0], (starts[1:] - ends[:-1] > 1) | (data[ends[:-1]] == 9)]))  # not one blank between words
+            odd = wide[begin + k - 1] > wide[begin]
+            for x, name in enumerate(names):
+                own = held.setdefault(name, Counter())
+                mine = lang[begin] == x
+                at = begin[mine & ~odd]
+                own.update([text[a:b] for a, b in zip(starts[at].tolist(), ends[at + k - 1].tolist())])
+                at = begin[mine & odd]
+                own.update([b" ".join(text[a:b].split()) for a, b in zip(starts[at].tolist(), ends[at + k - 1].tolist())])
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                for piece in text.as_py().encode().lower().translate(ENDS).split(b"\n"):
-                    found = piece.split()
-                    if k == 1 and found:
-                        own = held.setdefault(lang, Counter())
-                        own.update(found)
+            for lang, x in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                text = x.as_py().encode().lower().translate(ENDS)
+                if k == 1:
+                    own = held.setdefault(lang, Counter())
+                    found = text.split()
+                    own.update(found)
+                    if found:
                         own[None] += len(found)
-                    elif len(found) >= k:
-                        words += found
-                        sizes.append(len(found))
-                        langs.append(lang)
-                        if len(words) >= CHUNK:
-                            look()
-                            words, sizes, langs = [], [], []
+                elif len(text) >= CHUNK:
+                    for window in _windows(text, k):
+                        look([window], [lang])
+                else:
+                    parts.append(text)
+                    langs.append(lang)
+                    size += len(text)
+                    if size >= CHUNK:
+                        look(parts, langs)
+                        parts, langs, size = [], [], 0
                 if sum(map(len, held.values())) >= HELD:
                     yield _rows(held)
                     held.clear()
-        if words:
-            look()
+        if parts:
+            look(parts, langs)
         if held:
             yield _rows(held)
 
@@ -115,17 +158,11 @@ def _exploder(k: int, bits: int, frequent):
 
 def _places(bits: int):
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             if batch.num_rows:
-                parts = [p.split(b" ") for p in batch.column("phrase").to_pylist()]
-                seed = np.fromiter((hashes[x.encode()] for x in batch.column("lang").to_pylist()), np.uint64, len(parts))
-                each = np.array([[hashes[w] for w in p] for p in parts], np.uint64)
-                total = seed
-                for j in range(each.shape[1]):
-                    total = total * STEP + each[:, j]
-                total ^= total >> np.uint64(32)
-                place = (total * MIX) >> np.uint64(64 - bits)
+                words = _words(np.frombuffer(b"\n".join(batch.column("phrase").to_pylist()), np.uint8))[2].reshape(batch.num_rows, -1)
+                langs = np.array([xxhash.xxh64_intdigest(x) for x in batch.column("lang").to_pylist()], np.uint64)
+                place = _mixed(list(words.T), langs) >> np.uint64(64 - bits)
                 yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(SEGMENT)).astype(np.int32)), pa.array((place & np.uint64((1 << SEGMENT) - 1)).astype(np.int32))], names=["segment", "at"])
 
     return places
