@@ -1,11 +1,9 @@
 """Task analysis, structural and semantic scores, merge, rerank and overrides, for any number of tasks at once.
 
-Scores of chunks go through an inverted index: tokens of chunks are counted once, and only the
-tokens that some task asks for are joined. A term consists of letters and digits, so a text holds
-it exactly if one of the text's tokens does; which tokens hold which terms is found over the
-distinct tokens, by exploding their substrings of the terms' lengths. No pair of task and chunk
-costs a string operation, but pairs that share any token or term are rows: common words make them grow
-with tasks times chunks.
+A term consists of letters and digits, so a text holds it exactly if one of the text's tokens does. Which
+tokens of paths and names hold which terms is found over the distinct tokens, by postings of their trigrams. Chunks
+are searched by the block index of `topk`: no pair of a task and a chunk becomes a row but the first few
+of each partition.
 """
 
 from __future__ import annotations
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
 from lodeweave.operators.graph import by_path, expand_seeds
+from lodeweave.operators.topk import best_chunks, block_index
 from lodeweave.sources.shared import staged
 
 #: Cuts of the ranking.
@@ -46,12 +45,22 @@ def file_facts(files: DataFrame) -> DataFrame:
     )
 
 
+def _trigrams(word: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: word.substr(i, F.lit(3))))
+
+
 def holders(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """repo_id, token, term for tokens of words(repo_id, token) that hold a term of terms(repo_id, term): an equi-join over substrings of the terms' lengths."""
-    lengths = terms.select("repo_id", F.length("term").alias("size")).distinct()
-    place = F.explode(F.sequence(F.lit(1), F.length("token") - F.col("size") + 1))
-    pieces = words.join(lengths, "repo_id").filter("length(token) >= size").select("repo_id", "token", "size", place.alias("at")).select("repo_id", "token", F.col("token").substr(F.col("at"), F.col("size")).alias("term")).distinct()
-    return pieces.join(terms.select("repo_id", "term").distinct(), ["repo_id", "term"])
+    """repo_id, token, term for tokens of words(repo_id, token), each once, that hold a term of terms(repo_id, term).
+
+    Tokens are posted under their trigrams. A term (three characters at least) is looked up by the one of its trigrams that
+    fewest tokens have, and what is found there is verified; a term with a trigram that no token has is in none.
+    """
+    posted = staged(words.filter("length(token) >= 3").select("repo_id", "token", F.explode(_trigrams(F.col("token"))).alias("gram")))
+    sizes = posted.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = terms.select("repo_id", "term").distinct().withColumn("gram", F.explode(_trigrams(F.col("term"))))
+    found = asked.join(sizes, ["repo_id", "gram"], "left").groupBy("repo_id", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    rarest = found.filter("least.n > 0").select("repo_id", "term", F.col("least.gram").alias("gram"))
+    return posted.join(rarest, ["repo_id", "gram"]).filter(F.col("token").contains(F.col("term"))).select("repo_id", "token", "term")
 
 
 def structural_scores(analysis: DataFrame, facts: DataFrame) -> DataFrame:
@@ -98,45 +107,13 @@ def structural_candidates(analysis: DataFrame, facts: DataFrame, edges: DataFram
     return expand_seeds(seeds, edges, facts.select("repo_id", "path", "is_test"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """repo_id, id, token, n: how often each token of two characters or more is in a chunk's text; 0 if only its path has it."""
-    text = chunks.select("repo_id", "id", F.explode(T.embedding_tokens(F.col("text"))).alias("token"), F.lit(1).alias("one"))
-    path = chunks.select("repo_id", "id", F.explode(F.split(F.lower("file_path"), "[^a-z0-9]+")).alias("token"), F.lit(0).alias("one")).filter("length(token) >= 2")
-    return text.unionByName(path).groupBy("repo_id", "id", "token").agg(F.sum("one").alias("n"))
-
-
 def semantic_chunks(analysis: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """The first 16 chunks of each task over the least score: cosine of token counts plus 0.1 for each term the text or path holds.
 
-    A chunk's vector has the trigrams of the task's terms too, the task's own vector has not; index
-    is postings(chunks), if it is kept.
+    index is block_index(chunks), if it is kept.
     """
-    index = staged(postings(chunks)) if index is None else index  # read in six places
-    terms = analysis.select("task_id", "repo_id", F.explode("terms").alias("term"))
-    grams = analysis.select("task_id", "repo_id", F.explode(T.term_trigrams(F.col("terms"))).alias("gram")).groupBy("task_id", "repo_id", "gram").agg(F.count(F.lit(1)).alias("m"))
-    extra = grams.join(terms, ["task_id", "repo_id"]).filter("gram = term").groupBy("task_id", "repo_id").agg(F.sum("m").alias("dot_grams"))
-    task = analysis.select("task_id", "repo_id", F.size("terms").alias("n_terms")).filter("n_terms > 0").join(grams.groupBy("task_id", "repo_id").agg(F.sum(F.col("m") * F.col("m")).alias("gram_norm")), ["task_id", "repo_id"]).join(extra, ["task_id", "repo_id"], "left")
-    task = task.select("task_id", "repo_id", "n_terms", "gram_norm", F.coalesce("dot_grams", F.lit(0)).alias("dot_grams"))
-    norms = index.groupBy("repo_id", "id").agg(F.sum(F.col("n") * F.col("n")).alias("text_norm"))
-
-    holds = holders(index.select("repo_id", "token").distinct(), terms)
-    asked = index.join(holds.select("repo_id", "token", "term"), ["repo_id", "token"])
-    boosts = asked.select("repo_id", "id", "term").distinct().join(terms, ["repo_id", "term"])
-    none = F.lit(0).cast("long")
-    rows = boosts.select("task_id", "repo_id", "id", F.lit(1).cast("long").alias("held"), none.alias("dot"), none.alias("cross"))
-    exact = index.withColumnRenamed("token", "term").join(terms, ["repo_id", "term"]).select("task_id", "repo_id", "id", none.alias("held"), F.col("n").alias("dot"), none.alias("cross"))
-    cross = index.withColumnRenamed("token", "gram").join(grams, ["repo_id", "gram"]).select("task_id", "repo_id", "id", none.alias("held"), none.alias("dot"), (2 * F.col("n") * F.col("m")).alias("cross"))
-    # Chunks without any of a task's words can pass by the trigrams alone if their own vector is short enough.
-    bound = task.filter("dot_grams > 0").select("task_id", "repo_id", (F.pow(F.col("dot_grams") / (LEAST_SCORE * F.sqrt("n_terms")), F.lit(2)) - F.col("gram_norm")).alias("most"))
-    short = norms.join(F.broadcast(bound), "repo_id").filter("text_norm <= most").select("task_id", "repo_id", "id", none.alias("held"), none.alias("dot"), none.alias("cross"))
-    pairs = rows.unionByName(exact).unionByName(cross).unionByName(short).groupBy("task_id", "repo_id", "id").agg(*[F.sum(c).alias(c) for c in ("held", "dot", "cross")])
-
-    norm = F.col("text_norm") + F.col("gram_norm") + F.col("cross")
-    cosine = F.when(norm > 0, (F.col("dot") + F.col("dot_grams")) / (F.sqrt(F.col("n_terms").cast("double")) * F.sqrt(norm.cast("double")))).otherwise(0.0)
-    boost = F.aggregate(F.sequence(F.lit(0), F.col("held")), F.lit(0.0), lambda a, i: a + F.when(i > 0, 0.1).otherwise(0.0))
-    scored = pairs.join(F.broadcast(task), ["task_id", "repo_id"]).join(norms, ["repo_id", "id"]).select("task_id", "repo_id", "id", (cosine + boost).alias("score")).filter(F.col("score") > LEAST_SCORE)
-    placed = scored.join(chunks.select("repo_id", "id", "file_path", "kind", "start_line", "end_line", "token_estimate"), ["repo_id", "id"])
-    return top(placed, CHUNK_HITS, F.desc("score"), by_path("file_path"), F.col("start_line"))
+    found = best_chunks(analysis, block_index(chunks) if index is None else index, CHUNK_HITS, LEAST_SCORE)
+    return top(found, CHUNK_HITS, F.desc("score"), F.col("place")).drop("place")
 
 
 def semantic_candidates(hits: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ class Engine:
             was_chunks, was_edges = made.chunks.limit(0), made.edges.limit(0)
         else:
             files, chunks, changes = index.refreshed(before.files, before.chunks, contents)
-            made = Index(files, chunks, graph.build_edges(files))
+            made = Index(files, chunks, graph.refreshed_edges(before.files, files, before.edges, changes))
             was_chunks, was_edges = before.chunks, before.edges
         stored = self.store.write(made)
         self.metrics = index.index_metrics(changes, was_chunks, was_edges, stored.edges)

@@ -116,7 +116,7 @@ def rerank_top12(spark: SparkSession, d: str) -> DataFrame:
 
 def overrides_applied(spark: SparkSession, d: str) -> DataFrame:
     """Each task pins the document of its own number and one that it also excludes, and excludes the file ranked first."""
-    best = _ranked(spark, d)
+    best = staged(_ranked(spark, d))  # read three times
     own = files(spark, d).select(F.col("doc_id").alias("task_id"), F.col("path").alias("own"))
     first = best.filter("rank = 1").select("task_id", F.col("path").alias("first"))
     asked = tasks(spark, d).select("task_id", "repo_id").join(own, "task_id").join(first, "task_id", "left")
