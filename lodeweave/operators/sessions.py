@@ -44,7 +44,12 @@ def session_lines(tasks: DataFrame, log: DataFrame) -> DataFrame:
 def merged_overrides(tasks: DataFrame, memory: DataFrame | None = None) -> DataFrame:
     """task_id, repo_id, pinned, excluded: a task's pins and those from memory, without what it excludes."""
     none = F.array().cast("array<string>")
-    x = tasks.join(memory, "repo_id", "left") if memory is not None else tasks.withColumn("memory", none)
+    return overrides_with(tasks.join(memory, "repo_id", "left") if memory is not None else tasks.withColumn("memory", none))
+
+
+def overrides_with(x: DataFrame) -> DataFrame:
+    """The same where each task has pins from memory of its own; x: tasks with the column memory."""
+    none = F.array().cast("array<string>")
     excluded = F.coalesce("excluded", none)
     pins = F.array_except(F.array_distinct(F.concat(F.coalesce("pinned", none), F.coalesce("memory", none))), excluded)
     return x.select("task_id", "repo_id", pins.alias("pinned"), excluded.alias("excluded"))

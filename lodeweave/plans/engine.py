@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
 from lodeweave.operators import compile as C
-from lodeweave.operators import graph, index, pack, retrieve, sessions
+from lodeweave.operators import fold, graph, index, pack, retrieve, sessions
 from lodeweave.sources.repository import read_repository
 from lodeweave.sources.shared import staged
 from lodeweave.sources.store import Index, MemoryStore, SessionLog
@@ -81,7 +81,8 @@ class Engine:
             raise LookupError("nothing is indexed yet")
         return found
 
-    def _ranked(self, tasks: DataFrame) -> DataFrame:
+    def _best(self, tasks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Ranked candidates before overrides, and the facts and chunk lists of files."""
         own = self._stored()
         analysis, facts = retrieve.analyzed(tasks), retrieve.file_facts(own.files)
         lists = retrieve.chunk_lists(own.chunks)
@@ -89,28 +90,43 @@ class Engine:
         semantic = retrieve.semantic_candidates(staged(self.providers.matcher(analysis, own.chunks)))
         best = staged(retrieve.reranked(retrieve.merged(structural, semantic, facts, lists)))  # a dozen rows a task
         self._reasons = retrieve.truncation_reasons(best)
+        return best, facts, lists
+
+    def _ranked(self, tasks: DataFrame) -> DataFrame:
+        best, facts, lists = self._best(tasks)
         overrides = sessions.merged_overrides(tasks, sessions.memory_pins(self.memory.read()))
         return staged(retrieve.apply_overrides(best, overrides, facts, lists))
 
+    def _described(self, ranked: DataFrame) -> DataFrame:
+        return pack.describe(self.providers.summarizer(ranked) if self.providers.summarizer else ranked, self._stored().files.drop("language"))
+
+    def _compiled(self, tasks: DataFrame, ranked: DataFrame, lines: DataFrame, remember: bool) -> Compiled:
+        described = self._described(ranked)
+        packed = pack.pack(described, self.budget)
+        items = pack.context_items(described, packed)
+        prompts = staged(C.compiled(tasks, ranked, packed, items, self._reasons, lines, self.providers.estimate))  # before the log grows: a cache would be made anew from the longer log
+        if remember:
+            self.memory.append(sessions.session_records(prompts, self.memory.next_seq()))
+        return Compiled(prompts, ranked, items)
+
     def explain_selection(self, tasks: DataFrame) -> DataFrame:
         """What a compile would select and why; the session log stays as it is."""
         return self._ranked(tasks).select("task_id", "rank", "path", "score", "role", "stage", "source", "reason")
 
     def compile_tasks(self, tasks: DataFrame, remember: bool = True) -> Compiled:
         """Compile tasks (task_id, repo_id, text, target, pinned, excluded) at once: each sees the log as it is before the call."""
-        own = self._stored()
         ranked = self._ranked(tasks)
-        described = pack.describe(self.providers.summarizer(ranked) if self.providers.summarizer else ranked, own.files.drop("language"))
-        packed = pack.pack(described, self.budget)
-        items = pack.context_items(described, packed)
-        made = C.compiled(tasks, ranked, packed, items, self._reasons, sessions.session_lines(tasks, self.memory.read()), self.providers.estimate)
-        prompts = staged(made)  # before the log grows: a cache would be made anew from the longer log
-        if remember:
-            self.memory.append(sessions.session_records(prompts, self.memory.next_seq()))
-        return Compiled(prompts, ranked, items)
+        return self._compiled(tasks, ranked, sessions.session_lines(tasks, self.memory.read()), remember)
+
+    def compile_sequence(self, tasks: DataFrame, remember: bool = True) -> Compiled:
+        """The same tasks in the order of their ids, each with the sessions of those before it in its collection, as one job."""
+        best, facts, lists = self._best(tasks)
+        fed = fold.fed(tasks, best, self.memory.read(), facts, lists, self._described, self.budget)
+        ranked = staged(retrieve.apply_overrides(best, sessions.overrides_with(tasks.join(fed.select("task_id", "memory"), "task_id")), facts, lists))
+        return self._compiled(tasks, ranked, fed.select("task_id", "lines"), remember)
 
     def compile_in_order(self, tasks: DataFrame) -> list[Compiled]:
-        """One task after another, each with the sessions of those before it; for short lists of tasks."""
+        """One task after another, a job each, for short lists of tasks; compile_sequence does the same in one."""
         ids = [r.task_id for r in tasks.select("task_id").orderBy("task_id").collect()]
         return [self.compile_tasks(tasks.filter(F.col("task_id") == i)) for i in ids]
 

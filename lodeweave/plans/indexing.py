@@ -17,14 +17,13 @@ from lodeweave.plans.oracle import STOP, _sql
 from lodeweave.sources.shared import staged
 
 KINDS = (".py", ".go", ".java", ".rb")
-LATER, EARLIER = "doc_id % 11 <> 0", "doc_id % 7 <> 0"
 
 
 def contents(spark: SparkSession, d: str, before: bool = False) -> DataFrame:
-    """A source file of each document. before: an earlier state, of which some files go, some change and to which some come."""
+    """A source file of each document. before: an earlier state, in which some files have other texts and some lie elsewhere."""
 
     def place(i):
-        folder = F.concat(F.when(i % 10 == 3, "tests/d").otherwise("src/d"), i % 16)
+        folder = F.concat(F.when((i % 7 == 0) & F.lit(before), "old/d").when(i % 10 == 3, "tests/d").otherwise("src/d"), i % 16)
         return F.concat(folder, F.lit("/m"), F.lpad(i.cast("string"), 9, "0"), F.element_at(F.array(*map(F.lit, KINDS)), (i % 4 + 1).cast("int")))
 
     own, half = F.col("doc_id"), F.floor(F.col("doc_id") / 2)
@@ -40,8 +39,7 @@ def contents(spark: SparkSession, d: str, before: bool = False) -> DataFrame:
         F.concat(F.lit("export const "), word(4), F.lit(" = async (a) => "), word(5), F.lit("(a)")),
         F.concat(F.lit("const "), word(6), F.lit(" = b => class "), word(0)),
     )
-    docs = spark.read.parquet(f"{d}/documents.parquet").filter(EARLIER if before else LATER)
-    x = docs.select("doc_id", T.query_terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.query_terms(F.coalesce("text", F.lit(""))).alias("terms"))
     return x.select(F.lit("code").alias("repo_id"), place(own).alias("path"), F.octet_length(content).cast("long").alias("size"), F.when(moved, 1.0).otherwise(0.0).alias("modified_at_ms"), content.alias("content"))
 
 
@@ -54,7 +52,7 @@ def code_files(spark: SparkSession, d: str) -> DataFrame:
 
 def symbol_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """The file that each name means."""
-    return graph.symbol_dictionary(index.file_records(contents(spark, d))).select("name", "path")
+    return graph.symbol_dictionary(staged(index.file_records(contents(spark, d)))).select("name", "path")
 
 
 def code_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -94,8 +92,10 @@ def _word(k: int) -> str:
     return f"'f_' || coalesce(t[{k + 1}], 'none')"
 
 
-CODE = f"""raw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({STOP})) AS w FROM documents WHERE {LATER}),
-terms AS (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS t FROM (SELECT doc_id, w[1:2000] AS w FROM raw)),
+CODE = f"""raw AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+') AS w FROM documents),
+parts AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM raw),
+first AS (SELECT doc_id, word, min(pos) AS pos FROM parts WHERE length(word) >= 3 AND word NOT IN ({STOP}) GROUP BY ALL),
+terms AS (SELECT raw.doc_id, coalesce(list(word ORDER BY pos) FILTER (word IS NOT NULL), []) AS t FROM raw LEFT JOIN first ON first.doc_id = raw.doc_id GROUP BY raw.doc_id),
 code AS (SELECT doc_id, {_place("doc_id")} AS path, doc_id % 10 = 3 AS is_test, ['python', 'go', 'java', 'ruby'][doc_id % 4 + 1] AS language, concat_ws(chr(10),
   CASE WHEN doc_id > 0 THEN 'import x from ''../../' || regexp_replace({_place("doc_id // 2")}, '[.]py$', '') || '''' END,
   'export class ' || {_word(0)} || ' extends ' || {_word(1)}, 'interface ' || {_word(2)}, 'def ' || {_word(3)} || '(self): return ' || {_word(4)} || ' (1)',

@@ -196,4 +196,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 5) AS score FROM e AS q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
             QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, e.v) DESC, e.vec_id) <= 8""",
     }
+    out["override_stream"] = out["override_state"]  # a stream's end is what all rows tell
     return out

@@ -15,7 +15,10 @@ from lodeweave.functions import text as T
 from lodeweave.functions.parse import module_symbol
 from lodeweave.operators import compile as C
 from lodeweave.operators import graph, index, pack, retrieve, sessions
+from lodeweave.plans.engine import Engine
 from lodeweave.sources.shared import staged
+from lodeweave.sources.store import Index
+from lodeweave.streaming import state
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -212,10 +215,33 @@ def handoff_history(spark: SparkSession, d: str) -> DataFrame:
     return sessions.handoff_history(log).select("repo_id", "seq", "prompt_id", "position")
 
 
-def override_state(spark: SparkSession, d: str) -> DataFrame:
+def _actions(events: DataFrame) -> DataFrame:
     action = F.when(F.col("event_type") == "click", "pin").when(F.col("event_type") == "view", "exclude").otherwise("include")
-    log = _table(spark, d, "events").select((F.col("user_id") % 50).alias("repo_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 11).alias("path"), action.alias("action"))
-    return sessions.override_state(log)
+    return events.select((F.col("user_id") % 50).alias("repo_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 11).alias("path"), action.alias("action"))
+
+
+def override_state(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.override_state(_actions(_table(spark, d, "events")))
+
+
+def override_stream(spark: SparkSession, d: str) -> DataFrame:
+    """override_state, from the events as a stream with a state for each path."""
+    events = spark.readStream.schema(_table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern may be a file, a path has to be a folder
+    return state.latest(state.override_stream(_actions(events)), ("repo_id", "path")).drop("seq")
+
+
+def session_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks compiled in order, each with the sessions before it; the log begins with the users' turns, each on the document of its conversation."""
+    turns = _table(spark, d, "conversations").filter("role = 'user'")
+    chosen = files(spark, d).select(F.col("doc_id").alias("conv_id"), F.array("path").alias("selected_files"))
+    none = F.lit(None)
+    log = turns.join(chosen, "conv_id").select(F.lit("docs").alias("repo_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("conv_id").cast("string").alias("task_id"), F.coalesce("text", F.lit("")).alias("text"), none.cast("string").alias("prompt_id"), "selected_files", F.array().cast("array<string>").alias("architecture_summary"), none.cast("timestamp").alias("created_at"))
+    engine = Engine(spark)
+    engine.store.write(Index(_sources(spark, d), _chunks(spark, d), edges(spark, d)))
+    engine.memory.append(staged(sessions.retained(log)))
+    done = engine.compile_sequence(tasks(spark, d), remember=False)
+    pins = F.transform(F.filter("selection_reasons", lambda r: r["role"] == "manual"), lambda r: r["path"])
+    return done.prompts.select("task_id", "prompt_id", F.array_join(F.array_sort(pins), ",").alias("pinned"), F.array_join("included_files", ",").alias("included"), "used_total")
 
 
 def language_breakdown(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +260,7 @@ def dense_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     file_records, chunk_documents, task_intent, task_terms, term_trigrams, structural_seeds, expand_two_hops, semantic_chunks, semantic_files, rerank_top12, overrides_applied, budget_pack, compiled_prompts, agent_payloads,
-    link_edges, edge_dedupe, import_resolution, snapshot_diff, index_metrics, recent_sessions, memory_pins, session_retention, handoff_history, override_state, language_breakdown, index_diagnostics, dense_similarity,
+    link_edges, edge_dedupe, import_resolution, snapshot_diff, index_metrics, recent_sessions, memory_pins, session_retention, handoff_history, override_state, override_stream, session_sequence, language_breakdown, index_diagnostics, dense_similarity,
 )
 
 

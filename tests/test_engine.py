@@ -300,6 +300,23 @@ def test_json_round_trip(spark, tree, tmp_path):
     assert import_json(spark, f"{tmp_path}/none") is None and ParquetStore(spark, f"{tmp_path}/none").read() is None
 
 
+def test_a_sequence_is_what_tasks_in_order_are(spark, tree):
+    asked = [("a", "r", "fix login hash", [], []), ("b", "r", "session docs", ["src/__init__.py", "gone.ts"], ["src/auth.ts"]), ("c", "r", "crypto", [], ["docs/auth.md"])]
+    tasks = spark.createDataFrame([(i, repo, text, "codex", pins, out) for i, repo, text, pins, out in asked], schemas.TASKS)
+    done = []
+    for way in ("compile_in_order", "compile_sequence"):
+        e = Engine(spark, budget={"max": 240})
+        e.index_repository(tree, "r")
+        e.memory.append(spark.createDataFrame([("r", 1, "z", "before", "p", ["docs/auth.md", "src/crypto.ts", "left.ts"], [], None)], schemas.SESSIONS))
+        made = getattr(e, way)(tasks)
+        rows = [r for x in (made if isinstance(made, list) else [made]) for r in x.prompts.select("task_id", "prompt", "included_files", "omitted_paths").collect()]
+        log = e.memory.read().orderBy("repo_id", "seq").select("repo_id", "task_id", "selected_files").collect()
+        done.append((sorted(map(tuple, rows)), log))
+    assert done[0] == done[1]
+    assert len({tuple(r[2]) for r in done[0][0]}) > 1 and any(r[3] for r in done[0][0])
+    assert "- before [docs/auth.md, src/crypto.ts, left.ts]" in done[1][0][0][1]
+
+
 def test_session_rules(spark):
     log = spark.createDataFrame([("r", i, f"text{i}", [f"f{i}", "same", f"g{i}"]) for i in range(1, 30)] + [("q", 1, "t", [])], "repo_id string, seq long, text string, selected_files array<string>")
     assert [r.seq for r in sessions.recent_sessions(log).filter("repo_id = 'r'").orderBy("recency").collect()] == [29, 28, 27]

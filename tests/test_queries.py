@@ -62,3 +62,39 @@ def test_prompts_are_those_of_a_compile(spark):
     texts = [r.prompt for r in want.values()]
     assert any("No raw files included." not in t for t in texts) and any("Imports docs/" in t for t in texts)
     assert any(r.used_raw for r in want.values()) and any(r.used_dependency for r in want.values())
+
+
+def test_session_sequence_is_a_replay(spark):
+    files = {r.path: r for r in queries._sources(spark, SF).collect()}
+    caps = {k: math.floor(BUDGET["max"] * BUDGET[k]) for k in ("raw", "summary", "dependency", "tests")}
+    best = {}
+    for r in queries._ranked(spark, SF).collect():
+        best.setdefault(r.task_id, []).append((r.score, r.path, r.role, r.reason))
+    turns = [(r.conv_id * 1000 + r.turn, r.conv_id) for r in spark.read.parquet(f"{SF}/conversations.parquet").filter("role = 'user'").collect()]
+    of = {r.doc_id: r.path for r in files.values()}
+    newest = [[of[c]] for _, c in sorted(turns, reverse=True) if c in of][:3]
+
+    def cost(path, reason):
+        api = ", ".join(s.name for s in files[path].symbols if s.kind in ("class", "function", "interface"))
+        kept = f"Preserve exposed interfaces: {api}" if api else "Preserve observed behavior while editing this file."
+        notes = f"Imports {files[path].imports[0]}" if files[path].imports else "None detected"
+        return tokens(files[path].content), tokens(f"Purpose: Supporting documentation relevant to the task. Reason: {reason} Public API: {api or 'None detected'} Key invariants: {kept} Dependencies: {notes}")
+
+    want = {}
+    for task in sorted(r.task_id for r in queries.tasks(spark, SF).collect()):
+        pins = list(dict.fromkeys([p for s in newest for p in s][:4]))
+        rows = [(max(s, 1000.0), p, "manual", why if "Pinned by user" in why else f"{why}; Pinned by user") if p in pins else (s, p, role, why) for s, p, role, why in best.get(task, [])]
+        rows += [(1000.0, p, "manual", "Pinned by user") for p in pins if p not in {r[1] for r in rows}]
+        used, included = dict.fromkeys(caps, 0), []
+        for score, path, role, why in sorted(rows, key=lambda r: (-r[0], r[1])):
+            raw, short = cost(path, why)
+            kind = "tests" if role == "test" else "dependency" if role in ("dependency", "semantic-support") else "summary"
+            if (role in ("primary", "manual") or score >= 14) and used["raw"] + raw <= caps["raw"]:
+                kind, short = "raw", raw
+            if used[kind] + short <= caps[kind]:
+                used[kind] += short
+                included.append(path)
+        want[task] = (",".join(sorted(pins)), ",".join(included), sum(used.values()))
+        newest = [included, *newest][:3]
+    got = {r.task_id: (r.pinned, r.included, r.used_total) for r in queries.session_sequence(spark, SF).collect()}
+    assert got == want
