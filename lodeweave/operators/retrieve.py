@@ -8,16 +8,12 @@ of each partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
 from lodeweave.operators.graph import by_path, expand_seeds
+from lodeweave.operators.dense import nearest
 from lodeweave.operators.topk import best_chunks, block_index
 from lodeweave.sources.shared import staged
 
@@ -217,53 +213,6 @@ def retrieve(tasks: DataFrame, files: DataFrame, chunks: DataFrame, edges: DataF
     return reranked(merged(structural, semantic, facts, chunk_lists(chunks)))
 
 
-#: Vectors of queries that one pass holds at most, and vectors that meet them at once.
-QUERY_BYTES = 4 << 20
-DENSE_ROWS = 1024
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    size = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-
-
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    return _unit(np.array(vectors.tolist(), float).reshape(-1, width))
-
-
-def _nearest(sent, width: int, limit: int):
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, block = sent.value
-        least = np.full((limit, len(ids)), -np.inf)  # the best scores of each query so far
-        for batch in batches:
-            found = []
-            for k in range(0, len(batch), DENSE_ROWS):
-                own = batch["id"].to_numpy()[k : k + DENSE_ROWS]
-                score = np.round(_matrix(batch["embedding"].iloc[k : k + DENSE_ROWS], width) @ block.T, 10)
-                score[own[:, None] == ids[None, :]] = -np.inf
-                least = np.partition(np.concatenate([least, score]), len(score), axis=0)[-limit:]
-                row, query = np.nonzero((score >= least.min(0)) & (score > -np.inf))
-                found.append(pd.DataFrame({"query_id": ids[query], "vec_id": own[row], "score": score[row, query]}))
-            if found:
-                yield pd.concat(found)
-
-    return best
-
-
 def dense_matches(queries: DataFrame, vectors: DataFrame, limit: int = SEMANTIC_FILES) -> DataFrame:
-    """query_id, vec_id, score: the nearest vectors by cosine; both tables have (id, embedding), ids are unique.
-
-    The queries are a stated set. They meet all vectors in blocks of QUERY_BYTES, one pass each;
-    a task passes on what can be among the nearest of its own rows, so no pair of the rest is shuffled.
-    Vectors without a direction score 0; a null vector is left out; vectors must have one length.
-    """
-    spark = vectors.sparkSession
-    queries, vectors = queries.filter("embedding is not null"), vectors.filter("embedding is not null")
-    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    blocks = max(1, -(-n * width * 8 // QUERY_BYTES))
-    found = []
-    for k in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id", "embedding").toPandas()  # about QUERY_BYTES
-        sent = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), _matrix(rows["embedding"], width)))
-        found.append(vectors.select("id", "embedding").mapInPandas(_nearest(sent, width, limit), "query_id long, vec_id long, score double"))
-    return top(reduce(DataFrame.unionByName, found), limit, F.desc("score"), F.col("vec_id"), by=("query_id",))
+    """query_id, vec_id, score, rank: the nearest vectors of each query by cosine, as dense.nearest finds them."""
+    return nearest(queries, vectors, limit)

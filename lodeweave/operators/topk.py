@@ -131,12 +131,12 @@ class _Best:
         """Whether scores (a row for each task) can be among the first; equal ones may be by their place."""
         return (score > self.least) & (score >= self.score[tasks, -1:])
 
-    def add(self, tasks: np.ndarray, score: np.ndarray, place: int) -> None:
+    def add(self, tasks: np.ndarray, score: np.ndarray, place: np.ndarray) -> None:
         ok = self.possible(tasks, score)
         some = np.flatnonzero(ok.any(axis=1))
         tasks = tasks[some]
         joined = np.concatenate([self.score[tasks], np.where(ok, score, -np.inf)[some]], axis=1)
-        places = np.concatenate([self.place[tasks], np.broadcast_to(place + np.arange(score.shape[1]), (len(tasks), score.shape[1]))], axis=1)
+        places = np.concatenate([self.place[tasks], np.broadcast_to(place, (len(tasks), len(place)))], axis=1)
         order = np.lexsort((places, -joined), axis=-1)[:, : self.limit]
         self.score[tasks], self.place[tasks] = np.take_along_axis(joined, order, axis=1), np.take_along_axis(places, order, axis=1)
 
@@ -170,7 +170,7 @@ def _score(asked: _Asked, best: _Best, row: dict) -> None:
     if len(tasks):
         norm = norms[None, :] + asked.gram_norm[tasks, None] + 2 * (asked.matrix(asked.grams, grams)[tasks] @ np.array(cross).reshape(-1, n))
         cosine = (terms[tasks] @ dot + asked.dot_grams[tasks, None]) / (asked.root[tasks, None] * np.sqrt(norm))
-        best.add(tasks, cosine + asked.boost[(terms[tasks] @ held).astype(int)], row["place"])
+        best.add(tasks, cosine + asked.boost[(terms[tasks] @ held).astype(int)], row["place"] + np.arange(n))
 
 
 def _searcher(sent, limit: int, least: float, schema: pa.Schema):

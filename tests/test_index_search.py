@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from lodeweave import schemas
-from lodeweave.operators import graph, index, retrieve, topk
+from lodeweave.operators import dense, graph, index, retrieve, topk
 
 WORDS = ["fix", "bug", "login", "log", "session", "auth", "gin", "a1", "zz", "authentication", "token", "ses", "ion"]
 
@@ -172,3 +174,24 @@ def test_a_refresh_looks_only_at_stale_files(spark):
     now = spark.createDataFrame(rng.sample(list(files.values()), 30), FILE)
     stale = graph.stale_sources(before, now, index.snapshot_changes(before, now))
     assert {r.path for r in stale.collect()} == {"p7.py", "p6.py"}  # p6 used the name that is gone
+
+
+def test_dense_index_finds_what_all_pairs_find(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 16)) * 3
+    x = np.round(np.concatenate([middles[i % 12] + rng.normal(size=16) * 0.4 for i in range(900)]).reshape(-1, 16), 3)
+    x[100:160] = x[100]  # equal vectors: the smallest ids count
+    x[7] = 0
+    rows = [(int(i) * 3, v.tolist()) for i, v in enumerate(x)] + [(5000, None)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    u = dense.unit(x)
+    score = np.round(u @ u.T, 10)
+    np.fill_diagonal(score, -np.inf)
+    want = sorted((i * 3, int(j) * 3, r + 1) for i in range(0, 900, 20) for r, j in enumerate(np.lexsort((np.arange(900), -score[i]))[:8]))
+    monkeypatch.setattr(dense, "BLOCK", 32)
+    monkeypatch.setattr(dense, "QUERY_BYTES", 4000)
+    report = {}
+    got = dense.nearest(vectors.filter("id % 60 = 0"), vectors, 8, report)
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got.collect()) == want
+    assert report["scanned"]() < 0.6
+    assert dense.nearest(vectors.limit(0), vectors, 8).count() == 0 and dense.nearest(vectors.filter("id = 0"), vectors.limit(0), 8).count() == 0
