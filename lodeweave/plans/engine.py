@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lodeweave.functions import text as T
 from lodeweave.operators import compile as C
 from lodeweave.operators import fold, graph, index, pack, retrieve, sessions
-from lodeweave.sources.repository import read_repository
+from lodeweave.sources.repository import read_again, read_repository
 from lodeweave.sources.shared import staged
 from lodeweave.sources.store import Index, MemoryStore, SessionLog
 
@@ -45,10 +46,12 @@ class Engine:
     memory: SessionLog | None = None
     providers: Providers = field(default_factory=Providers)
     budget: dict | None = None
+    reread: bool = False  # read files of candidates again, where their collection was indexed from a folder
 
     def __post_init__(self):
         self.memory = self.memory or SessionLog(self.spark)
         self.metrics: DataFrame | None = None
+        self.roots: dict[str, str] = {}
 
     def _files(self, contents: DataFrame) -> DataFrame:
         files = index.file_records(contents)
@@ -73,7 +76,13 @@ class Engine:
         return stored
 
     def index_repository(self, root: str, repo_id: str | None = None) -> Index:
-        return self.index_contents(read_repository(self.spark, root, repo_id))
+        self.roots[repo_id or os.path.abspath(root)] = os.path.abspath(root)
+        return self.index_contents(staged(read_repository(self.spark, root, repo_id)))  # of one moment, whatever is computed again later
+
+    def candidate_files(self, ranked: DataFrame) -> DataFrame:
+        """The files of ranked candidates, with state (same, stale, gone) and their contents of now."""
+        files = self._stored().files.join(ranked.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+        return read_again(files, self.roots)
 
     def _stored(self) -> Index:
         found = self.store.read()
@@ -98,7 +107,10 @@ class Engine:
         return staged(retrieve.apply_overrides(best, overrides, facts, lists))
 
     def _described(self, ranked: DataFrame) -> DataFrame:
-        return pack.describe(self.providers.summarizer(ranked) if self.providers.summarizer else ranked, self._stored().files.drop("language"))
+        files = self._stored().files
+        if self.reread:  # once, so that all texts of a compile are of one moment
+            files = staged(self.candidate_files(ranked).filter("state <> 'gone'")).drop("state")
+        return pack.describe(self.providers.summarizer(ranked) if self.providers.summarizer else ranked, files.drop("language"))
 
     def _compiled(self, tasks: DataFrame, ranked: DataFrame, lines: DataFrame, remember: bool) -> Compiled:
         described = self._described(ranked)

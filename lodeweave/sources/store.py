@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeweave import schemas
 from lodeweave.operators.sessions import retained
+from lodeweave.sources.shared import staged
 
 
 @dataclass
@@ -66,38 +67,45 @@ class MemoryStore:
         return self.index
 
 
-def export_json(index: Index, path: str) -> None:
-    """One JSON document for each collection, as lines of text; a collection must fit a row."""
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "repo_id"]))).alias(name))
+SECTIONS = {"files": ("path",), "chunks": ("file_path", "start_line", "id"), "edges": ("src", "dst", "kind")}
 
-    order = {"files": index.files.select("repo_id", "path", *[c for c in index.files.columns if c not in ("repo_id", "path")]), "chunks": index.chunks, "edges": index.edges.select("repo_id", "kind", "src", "dst", "weight")}
-    out = listed(order["files"], "files")
-    for name in ("chunks", "edges"):
-        out = out.join(listed(order[name], name), "repo_id", "left")
-    out.select(F.to_json(F.struct("repo_id", "files", *[F.coalesce(n, F.filter(F.array(F.col(n)[0]), lambda x: F.lit(False))).alias(n) for n in ("chunks", "edges")])).alias("value")).write.mode("overwrite").text(path)
+
+def export_json(index: Index, path: str, parts: int | None = None) -> None:
+    """A JSON document for each collection, {"repo_id", "files": [...], "chunks": [...], "edges": [...]}, in parts.
+
+    Rows are dealt to the parts by ranges of their order, a line each, so a collection may be of any size; the
+    parts one after another, in the order of their names, are the documents.
+    """
+    rows = None
+    for n, (name, order) in enumerate(SECTIONS.items()):
+        table = getattr(index, name)
+        key = F.to_json(F.array(*[F.lpad(F.col(c).cast("string"), 10, "0") if c == "start_line" else F.col(c) for c in order]))
+        own = table.select("repo_id", F.lit(2 * n + 1).alias("section"), key.alias("key"), F.to_json(F.struct("repo_id", *[c for c in table.columns if c != "repo_id"])).alias("value"))
+        rows = own if rows is None else rows.unionByName(own)
+    rows = staged(rows)
+    first = rows.groupBy("repo_id", "section").agg(F.min("key").alias("key")).withColumn("first", F.lit(True))  # three a collection
+    lines = rows.join(first, ["repo_id", "section", "key"], "left").withColumn("value", F.when(F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value"))).drop("first")
+    head = F.to_json(F.struct("repo_id"))
+    marks = [F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"files":[')), F.lit('],"chunks":['), F.lit('],"edges":['), F.lit("]}")]
+    between = F.explode(F.array(*[F.struct(F.lit(2 * n).alias("section"), F.lit("").alias("key"), m.alias("value")) for n, m in enumerate(marks)]))
+    framed = lines.unionByName(rows.select("repo_id").distinct().select("repo_id", between.alias("m")).select("repo_id", "m.*"))
+    order = ("repo_id", "section", "key")
+    dealt = framed.repartitionByRange(parts, *order) if parts else framed.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
 def import_json(spark: SparkSession, path: str) -> Index | None:
-    fields = {t: ", ".join(p for p in _fields(s) if not p.startswith("repo_id ")) for t, s in TABLES.items()}
-    schema = "repo_id string, " + ", ".join(f"{t} array<struct<{f}>>" for t, f in fields.items())
+    """The index in the parts that export_json wrote: each line is read by itself."""
     try:
-        whole = spark.read.schema(schema).json(path)
+        lines = spark.read.text(path)
     except AnalysisException as error:
         if _missing(error):
             return None
         raise
-    return Index(*[whole.select("repo_id", F.explode(t).alias("x")).select("repo_id", "x.*") for t in TABLES])
-
-
-def _fields(ddl: str) -> list[str]:
-    out, depth, at = [], 0, 0
-    for i, c in enumerate(ddl + ","):
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            out.append(ddl[at:i].strip())
-            at = i + 1
-    return out
+    own = F.ltrim(F.col("value"), F.lit(","))
+    rows = lines.filter(~F.col("value").startswith("]") & ~F.col("value").endswith("[")).select(own.alias("value"))
+    read = lambda ddl: rows.select(F.from_json("value", ddl).alias("x")).select("x.*")
+    return Index(*[read(ddl).filter(F.col(SECTIONS[name][0]).isNotNull()) for name, ddl in TABLES.items()])
 
 
 class SessionLog:

@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import time
@@ -289,10 +290,45 @@ def test_providers_and_benchmark(spark, tree):
     assert "short Public API" in e.compile_in_order(task(spark, "auth login", task_id="z"))[0].prompts.first().prompt
 
 
+def test_files_changed_after_indexing_are_read_again(spark, tree):
+    old = Engine(spark)
+    old.index_repository(tree, "r")
+    new = Engine(spark, store=old.store, reread=True)
+    new.roots = old.roots
+    t = task(spark, "fix auth login crypto")
+    with open(f"{tree}/src/auth.ts", "a") as f:
+        f.write("// added later\n")
+    os.remove(f"{tree}/src/crypto.ts")
+    states = {r.path: r.state for r in new.candidate_files(new._ranked(t)).collect()}
+    assert states["src/auth.ts"] == "stale" and states["src/crypto.ts"] == "gone" and states["tests/auth.test.ts"] == "same"
+    before, after = (e.compile_tasks(t, remember=False).prompts.first() for e in (old, new))
+    assert "added later" not in before.prompt and "added later" in after.prompt and after.used_raw > 0
+    assert "src/crypto.ts" in before.included_files and "src/crypto.ts" in after.omitted_paths
+
+
+def test_trees_are_listed_by_levels(spark, tmp_path):
+    for n in range(40):
+        os.makedirs(tmp_path / f"a{n % 5}/b{n}/c/node_modules")
+        (tmp_path / f"a{n % 5}/b{n}/c/f{n}.ts").write_text("x" * n)
+        (tmp_path / f"a{n % 5}/b{n}/c/node_modules/no.ts").write_text("")
+    (tmp_path / "top.md").write_text("t")
+    os.makedirs(tmp_path / "own")
+    (tmp_path / "own/x.ts").write_text("")
+    os.symlink(tmp_path / "top.md", tmp_path / "link.md")
+    got = {r.path: r.size for r in read_repository(spark, str(tmp_path), "r").collect()}
+    assert got == {f"a{n % 5}/b{n}/c/f{n}.ts": n for n in range(40)} | {"top.md": 1, "own/x.ts": 0}
+    fewer = read_repository(spark, str(tmp_path), "r", ignored=("a0", "own", "node_modules"))
+    assert fewer.count() == 33 and contents_of(fewer.select("*"), ignored=("a1",)).count() == 25
+
+
 def test_json_round_trip(spark, tree, tmp_path):
     e = Engine(spark)
     made = e.index_repository(tree, "r")
-    export_json(made, f"{tmp_path}/j")
+    export_json(made, f"{tmp_path}/j", parts=5)
+    parts = sorted(p for p in os.listdir(tmp_path / "j") if p.startswith("part-"))
+    whole = json.loads("".join((tmp_path / "j" / p).read_text() for p in parts))
+    assert len(parts) == 5 and whole["repo_id"] == "r" and [f["path"] for f in whole["files"]] == sorted(f["path"] for f in whole["files"])
+    assert [len(whole[t]) for t in ("files", "chunks", "edges")] == [getattr(made, t).count() for t in ("files", "chunks", "edges")]
     back = import_json(spark, f"{tmp_path}/j")
     for t in ("files", "chunks", "edges"):
         a, b = getattr(made, t), getattr(back, t)
