@@ -10,7 +10,7 @@ from pyspark.sql.types import AtomicType
 
 from lodeweave.sources.shared import shared_dir, staged
 
-__all__ = ["crc_bucket", "folder_names", "join_often", "keep_ids", "make_folder", "row_order", "shared_dir", "small_enough", "spread", "staged", "table", "text_of"]
+__all__ = ["crc_bucket", "folder_names", "join_often", "keep_ids", "kept_in_worker", "make_folder", "row_order", "shared_dir", "small_enough", "spread", "staged", "table", "text_of"]
 
 #: A side is broadcast when rows times bytes a row stay under this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -83,3 +83,15 @@ def spread(spark: SparkSession, rows: int, rows_a_part: int) -> int:
 def crc_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the fixed folds of the held-out rows."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
+#: What this worker keeps between tasks, and what it was made of: held, so that nothing else can have its identity.
+_KEPT: list = []
+
+
+def kept_in_worker(source, make):
+    """make(source), made once for each source. One thing at a time: a later stage's takes the place of an earlier one's."""
+    if not _KEPT or _KEPT[0] is not source:
+        _KEPT.clear()
+        _KEPT.extend((source, make(source)))
+    return _KEPT[1]

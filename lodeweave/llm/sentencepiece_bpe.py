@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.llm.common import kept_in_worker
+
 MARK = "▁"
-REMEMBERED = 150_000
-REMEMBERED_PAIRS = 250_000
+REMEMBERED = 75_000
+REMEMBERED_PAIRS = 120_000
 LONGEST_REMEMBERED = 64
 #: Piece types and field numbers of the model's protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -274,16 +276,9 @@ def _lenient(raw: bytes) -> str:
     return "".join(out)
 
 
-_MODELS: dict[bytes, Model] = {}
-
-
 def model_of(proto: bytes) -> Model:
     """The model, built once in a worker."""
-    key = hashlib.sha256(proto).digest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(proto)
-    return _MODELS[key]
+    return kept_in_worker(proto, Model)
 
 
 def load(path: str) -> bytes:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import crc_bucket, staged
+from lodeweave.llm.common import crc_bucket, kept_in_worker, staged
 
 SAMPLE = 20_000
 FEATURES = 384
@@ -283,15 +283,9 @@ def features_of(words: set[str]) -> set[str]:
     return out
 
 
-#: The restorer of this worker and the table it was made of: held, so that no other table can have its identity.
-_RESTORER: list = []
-
-
 def _restorer(model) -> Restorer:
     """One for each broadcast model in a worker."""
-    if not _RESTORER or _RESTORER[0] is not model.value:
-        _RESTORER[:] = [model.value, Restorer(model.value)]
-    return _RESTORER[1]
+    return kept_in_worker(model.value, Restorer)
 
 
 def _feature_counter(model):
