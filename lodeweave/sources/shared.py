@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,18 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths written inside each open temporary_tables().
-_SCOPES: list[list[str]] = []
+#: Paths written inside the temporary_tables() that is open in this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("temporary_tables", default=None)
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what staged() wrote in between, unless it was to last."""
-    _SCOPES.append([])
+    """Delete at the end what staged() wrote in between in this thread, unless it was to last."""
+    paths: list[str] = []
+    before = _SCOPE.set(paths)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPE.reset(before)
+        for path in paths:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -56,7 +59,8 @@ def staged(df: DataFrame, partition_by: tuple[str, ...] = (), lasting: bool = Fa
     dealt (partition ids) stay what they were. Parquet keeps the table small.
     """
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    if _SCOPES and not lasting:
-        _SCOPES[-1].append(path)
+    scope = _SCOPE.get()
+    if scope is not None and not lasting:
+        scope.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
