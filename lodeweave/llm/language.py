@@ -7,7 +7,7 @@ logarithm of the number of trigrams for each further language). The largest prop
 
 Defined cases: null text, or one without a letter, is `und` with score 0, as is every text if
 nothing could be learnt; ties go to the language first in order; repeated rows are alike; an empty
-table gives no rows; further columns are ignored.
+table gives no rows; further columns are ignored; texts of any length are read whole, one at a time.
 """
 
 from __future__ import annotations

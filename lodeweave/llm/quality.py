@@ -8,7 +8,7 @@ The fit uses a bounded sample of labelled rows (SAMPLE); scoring reads every who
 
 Defined cases: null text is empty, and its features are zero; with one label only, or none, each
 score is the smoothed share of label 1; repeated rows score alike; an empty table gives no rows;
-further columns are ignored.
+further columns are ignored; texts of any length are read whole, one at a time; a score of exactly 0.5 counts as 1.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ No piece has the word mark after another character, so merges never cross a word
 are encoded apart, and a worker remembers a bounded number of them.
 
 Defined cases: null text is empty and gives begin and end ids only; an empty table gives no rows;
-repeated rows and further columns are kept apart by doc_id alone.
+repeated rows and further columns are kept apart by doc_id alone; texts of any length are encoded whole, one at a time;
+there are no ties: a text has one encoding.
 """
 
 from __future__ import annotations
