@@ -33,6 +33,7 @@ def describe(ranked: DataFrame, files: DataFrame) -> DataFrame:
     have = files.select("repo_id", "path", "content", "imports", T.preserved_interfaces(F.col("symbols")).alias("api"), F.lit(True).alias("found"))
     x = ranked.join(have, ["repo_id", "path"], "left").withColumn("notes", _notes(F.col("imports")))
     has_api, names = F.size("api") > 0, F.array_join("api", ", ")
+    #: The wording of raw items and summaries.
     purpose = (
         F.when(F.col("language") == "markdown", "Supporting documentation relevant to the task.")
         .when(F.col("role") == "dependency", "Dependency needed to understand or modify the primary target.")

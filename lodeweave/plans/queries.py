@@ -246,7 +246,7 @@ def session_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 def language_breakdown(spark: SparkSession, d: str) -> DataFrame:
     x = files(spark, d).withColumn("language", F.coalesce("lang", F.lit("none")))
-    return index.language_breakdown(x).drop("repo_id").crossJoin(index.breakdown_text(x).select("languages"))  # one row beside a handful
+    return index.language_breakdown(x).join(index.breakdown_text(x), "repo_id").drop("repo_id")
 
 
 def index_diagnostics(spark: SparkSession, d: str) -> DataFrame:
