@@ -20,16 +20,21 @@ KINDS = (".py", ".go", ".java", ".rb")
 
 
 def contents(spark: SparkSession, d: str, before: bool = False) -> DataFrame:
-    """A source file of each document. before: an earlier state, in which some files have other texts and some lie elsewhere."""
+    """A source file of each document. before: an earlier state, in which some files have other texts and some lie elsewhere.
 
-    def place(i):
-        folder = F.concat(F.when((i % 7 == 0) & F.lit(before), "old/d").when(i % 10 == 3, "tests/d").otherwise("src/d"), i % 16)
+    A file whose path, size and time are the same in both states has the same text in both: its import names the later
+    path. Files that a refresh reads again name the earlier one.
+    """
+
+    def place(i, early):
+        folder = F.concat(F.when((i % 7 == 0) & early, "old/d").when(i % 10 == 3, "tests/d").otherwise("src/d"), i % 16)
         return F.concat(folder, F.lit("/m"), F.lpad(i.cast("string"), 9, "0"), F.element_at(F.array(*map(F.lit, KINDS)), (i % 4 + 1).cast("int")))
 
     own, half = F.col("doc_id"), F.floor(F.col("doc_id") / 2)
+    early = F.lit(before)
     moved = (own % 5 == 0) if before else F.lit(False)
     word = lambda k: F.concat(F.lit("f_"), F.coalesce(F.get("terms", F.lit(k) + moved.cast("int")), F.lit("none")))
-    module = F.concat(F.lit("../../"), F.regexp_replace(place(half), "[.]py$", ""))
+    module = F.concat(F.lit("../../"), F.regexp_replace(place(half, early & ((own % 5 == 0) | (own % 7 == 0))), "[.]py$", ""))
     content = F.concat_ws(
         "\n",
         F.when(own > 0, F.concat(F.lit("import x from '"), module, F.lit("'"))),
@@ -40,7 +45,7 @@ def contents(spark: SparkSession, d: str, before: bool = False) -> DataFrame:
         F.concat(F.lit("const "), word(6), F.lit(" = b => class "), word(0)),
     )
     x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.query_terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    return x.select(F.lit("code").alias("repo_id"), place(own).alias("path"), F.octet_length(content).cast("long").alias("size"), F.when(moved, 1.0).otherwise(0.0).alias("modified_at_ms"), content.alias("content"))
+    return x.select(F.lit("code").alias("repo_id"), place(own, early).alias("path"), F.octet_length(content).cast("long").alias("size"), F.when(moved, 1.0).otherwise(0.0).alias("modified_at_ms"), content.alias("content"))
 
 
 def code_files(spark: SparkSession, d: str) -> DataFrame:

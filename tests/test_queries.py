@@ -1,7 +1,7 @@
 import hashlib
 import math
 
-from lodeweave.plans import queries
+from lodeweave.plans import indexing, queries
 from lodeweave.plans.engine import Engine
 from lodeweave.schemas import BUDGET
 from lodeweave.sources.store import Index
@@ -98,3 +98,12 @@ def test_session_sequence_is_a_replay(spark):
         newest = [included, *newest][:3]
     got = {r.task_id: (r.pinned, r.included, r.used_total) for r in queries.session_sequence(spark, SF).collect()}
     assert got == want
+
+
+def test_what_a_refresh_reuses_has_the_same_text(spark):
+    key, stamp = ["path"], ["size", "modified_at_ms"]
+    before, now = (indexing.contents(spark, SF, early) for early in (True, False))
+    same = before.join(now, [*key, *stamp]).select(before["content"], now["content"]).collect()
+    assert same and all(was == text for was, text in same)
+    changed = before.join(now, key).filter((before["modified_at_ms"] != now["modified_at_ms"]) & (before["content"] != now["content"])).count()
+    assert changed and before.join(now, key, "left_anti").count()
