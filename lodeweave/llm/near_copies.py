@@ -1,18 +1,21 @@
-"""Near-dedup of texts at 0.8 of their five-word shingles: shared shingles as blocks, SimHash, exact similarity.
+"""Near-dedup of texts at 0.8 of their five-word shingles: SimHash first, then shared shingles for what it can't reach, exact similarity.
 
 Similarity: shared shingles over all shingles of two texts (Jaccard), each shingle once; words as
-op8 cuts them. A similarity of 0.8 turns about ten bits of a 64-bit SimHash (sd 3), and a radius
-that covers it (23, as in op1) holds one in sixty of all pairs, so blocks of bits would compare all
-texts with all. Shingles are the blocks here instead:
+op8 cuts them.
 
-1. Prefixes: in any one order of all shingles, two sets at 0.8 share one of the first
+1. SimHash: texts whose fingerprints are equal or differ in three bits at most meet by op8's blocks; of
+   fingerprints, a spanning forest is looked at. What the exact similarity confirms is linked. A similarity of
+   0.8 turns about ten bits of 64 (sd 3), and a radius that covers it (23, as in op1) holds one in sixty of
+   all pairs, so blocks of bits would compare all texts with all. Shingles are the blocks for the rest:
+2. Prefixes: in any one order of all shingles, two sets at 0.8 share one of the first
    n - ceil(0.8 n) + 1 of each. The order puts shingles first whose cell of 65,536 is rare, so that what
    many texts hold is hardly ever in a prefix. Most prefix shingles are of one text only: tasks send
    owners sorted lists of four bytes for a shingle and each of two size classes (texts at 0.8 share a class),
    and owners give back a bit map of fixed size of what two texts have. Only shingles of set bits become rows,
    so none that two texts of like size share is lost. Texts that share
-   a prefix shingle, are of like size and can still reach 0.8 from its places are candidates.
-2. The exact similarity decides on every candidate. (Their texts meet, as they pack better than eight bytes a shingle.)
+   a prefix shingle, are of like size, can still reach 0.8 from its places and aren't linked by step 1 are candidates.
+   All shingles that two prefixes share are counted (see _possible), and two texts that can't reach 0.8 by them are none.
+3. The exact similarity decides on every candidate. (Their texts meet, as they pack better than eight bytes a shingle.)
    radius, if it is given, drops pairs of LEAST_BITS_N shingles or more whose SimHashes differ in more
    bits first: that can lose pairs (at 23 bits about one in 100,000 at 0.8), so nothing here gives it.
 
@@ -37,9 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import small_enough, staged
+from lodeweave.llm.common import join_often, small_enough, staged
 from lodeweave.llm.components import connected_components
-from lodeweave.llm.simhash import classes_of, first_of_each, majority, packed_rows, shingle_hashes
+from lodeweave.llm.simhash import classes_of, close_links, first_of_each, majority, packed_rows, shingle_hashes
 from lodeweave.sources.shared import batch_rows
 
 WORDS = 5
@@ -183,13 +186,27 @@ def _prefixes(ranks, shared):
     return prefixes
 
 
+_PAIRS = "a long, b long, shared long, rest long, most long, total long"
+
+
 def _pairs(first: int, last: int | None, radius: int | None):
-    """Pairs of one group that are `first` to `last` rows apart, can be close and have different roots."""
+    """Pairs of one group that are `first` to `last` rows apart, can be close and have different roots.
+
+    shared: shingles of groups in which all rows meet; rest: the shingles that are left after this one in the text that has
+    fewer, most: those after the prefix in the text that has more, total: those of both texts.
+    """
+
+    def counted(found: list[np.ndarray]) -> pd.DataFrame:
+        a, b, shared, rest, most, total = np.concatenate(found, axis=1)
+        rows = pd.DataFrame({"a": a, "b": b, "shared": shared, "rest": rest, "most": most, "total": total})
+        return rows.groupby(["a", "b"], as_index=False, sort=False).agg({"shared": "sum", "rest": "min", "most": "first", "total": "first"})
 
     def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         token, key, bits, n, place = (rows[c].to_numpy(np.int64) for c in ("token", "key", "bits", "n", "place"))
-        root = rows["root"].to_numpy(np.int64) if "root" in rows else key
-        at, step, a, b, held = np.arange(len(rows)), first, [], [], 0
+        root = rows["root"].to_numpy(np.int64)
+        _, group, size = np.unique(token, return_inverse=True, return_counts=True)
+        whole = (size <= (last or 0) + 1)[group].astype(np.int64)
+        at, step, found, held = np.arange(len(rows)), first, [], 0
         while last is None or step <= last:
             at = at[at + step < len(rows)]
             to = at + step
@@ -201,15 +218,16 @@ def _pairs(first: int, last: int | None, radius: int | None):
             ok = _close(most, n[at], n[to]) & (root[at] != root[to])
             if radius is not None:
                 ok &= (n[at] < LEAST_BITS_N) | (np.bitwise_count((bits[at] ^ bits[to]).view(np.uint64)) <= radius)
-            a.append(np.minimum(key[at[ok]], key[to[ok]]))
-            b.append(np.maximum(key[at[ok]], key[to[ok]]))
-            held += len(a[-1])
+            x, y = at[ok], to[ok]
+            rest = np.minimum(n[x] - place[x], n[y] - place[y]) - 1
+            found.append(np.array([np.minimum(key[x], key[y]), np.maximum(key[x], key[y]), whole[x], rest, (4 * np.maximum(n[x], n[y]) + 4) // 5 - 1, n[x] + n[y]]))
+            held += len(x)
             if held > HELD:
-                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-                a, b, held = [], [], 0
+                yield counted(found)
+                found, held = [], 0
             step += 1
         if held:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+            yield counted(found)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups come sorted; the last group of a batch may go on in the next one."""
@@ -231,7 +249,44 @@ def _pairs(first: int, last: int | None, radius: int | None):
 def _found(rows: DataFrame, first: int, last: int | None, radius: int | None) -> DataFrame:
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "key")
     with batch_rows(rows.sparkSession, NUMBERS_AT_ONCE):
-        return staged(dealt.mapInPandas(_pairs(first, last, radius), "a long, b long").distinct())
+        found = dealt.mapInPandas(_pairs(first, last, radius), _PAIRS).groupBy("a", "b")
+        return staged(found.agg(F.sum("shared").alias("shared"), F.min("rest").alias("rest"), F.first("most").alias("most"), F.first("total").alias("total")))
+
+
+def _possible(pairs: DataFrame, crowd: DataFrame | None) -> DataFrame:
+    """(a, b) of the pairs that can be close by what their prefixes share; crowd: the rows of groups in which not all rows meet.
+
+    Up to any shared shingle, two texts share those of small groups, which are counted, and of crowds as many as either has;
+    after it, the rest at most. Nor is a shingle shared beyond the earlier of two prefixes' ends but by the texts' shingles after it.
+    """
+    among = F.lit(0)
+    if crowd is not None:
+        counts = staged(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("h")))
+        if small_enough(counts.count(), 16):
+            counts = F.broadcast(counts)
+        for end in ("a", "b"):
+            pairs = pairs.join(counts.select(F.col("key").alias(end), F.col("h").alias(f"h_{end}")), end, "left")
+        among = F.least(F.coalesce("h_a", F.lit(0)), F.coalesce("h_b", F.lit(0)))
+    return pairs.filter(_close(F.col("shared") + among + F.least("rest", "most"), F.col("total"), 0)).select("a", "b")
+
+
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of texts(key, bits, n) by equal fingerprints and fingerprints within three bits, without pairs whose sizes forbid 0.8."""
+    own = texts.filter("n > 0").select("key", "bits", "n")
+    firsts = staged(own.groupBy("bits").agg(F.min(F.struct("key", "n")).alias("first"), F.count(F.lit(1)).alias("rows")))
+    equal = join_often(own, firsts.filter("rows > 1"), "bits", "rows").select("first", F.struct("key", "n").alias("other"))
+    ends = lambda name, end: firsts.select(F.col("bits").alias(name), F.col("first").alias(end))
+    near = close_links(firsts.select(F.col("bits").alias("print"))).join(ends("a", "first"), "a").join(ends("b", "other"), "b").select("first", "other")
+    both = equal.unionByName(near).filter("first.key <> other.key and 5 * least(first.n, other.n) >= 4 * greatest(first.n, other.n)")
+    return staged(both.select(F.least("first.key", "other.key").alias("a"), F.greatest("first.key", "other.key").alias("b")).distinct())
+
+
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with the root that links connect each key with."""
+    roots = staged(connected_components(links))
+    if small_enough(roots.count(), 16):
+        roots = F.broadcast(roots)
+    return rows.join(roots, rows["key"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "key").alias("root"))
 
 
 def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -257,17 +312,16 @@ def similar_links(texts: DataFrame, steps: int = STEPS, radius: int | None = Non
     shared = send(shared_shingles(texts, ranks))
     schema = "token long, key long, bits long, n int, place int"
     rows = staged(texts.filter("n > 0").select("key", "text", "bits", "n").mapInArrow(_prefixes(ranks, shared), schema))
-    links = _verified(_found(rows, 1, steps, radius), texts)
+    links = _verified(simhash_pairs(texts), texts)
     heavy = staged(rows.groupBy("token").count().filter(F.col("count") > steps + 1).select("token"))
     many = heavy.count()
+    crowd = staged(rows.join(F.broadcast(heavy) if small_enough(many, 16) else heavy, "token", "left_semi")) if many else None
+    links = links.unionByName(_verified(_possible(_found(_rooted(rows, links), 1, steps, radius), crowd), texts))
     if not many:
         return links
-    roots = connected_components(links)
-    crowd = rows.join(F.broadcast(heavy) if small_enough(many, 16) else heavy, "token", "left_semi")
-    crowd = crowd.join(roots, crowd["key"] == roots["node"], "left").select("token", "key", "bits", "n", "place", F.coalesce("root", "key").alias("root"))
-    crowd = staged(crowd)
+    crowd = staged(_rooted(crowd, links))
     mixed = crowd.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    more = _verified(_found(crowd.join(mixed, "token", "left_semi"), steps + 1, None, radius), texts)
+    more = _verified(_found(crowd.join(mixed, "token", "left_semi"), steps + 1, None, radius).select("a", "b"), texts)
     return links.unionByName(more)
 
 

@@ -65,3 +65,17 @@ def test_pipeline_stage_finds_the_near_copies_of_the_documents(spark):
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()}
     assert sorted(map(str, got)) == kept([tuple(r) for r in docs.select("doc_id", "text").collect()])
     assert 2 in got and 56 not in got
+
+
+def test_simhash_links_and_what_it_connects_is_not_met_again(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, texts, own=near_copies._verified: met.append({tuple(sorted((r.a, r.b))) for r in pairs.collect()}) or own(pairs, texts))
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    copies = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in rng.sample(range(400), 12)]
+    apart = [" ".join([f"v{g}x{i}" for i in range(60)] + base[g * 12 : g * 12 + 12]) for g in range(30)]  # share a passage with the others
+    rows = list(enumerate([" ".join(base), *copies, *apart]))
+    got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(str(r.doc_id) for r in got.collect()) == kept(rows)
+    assert met[0] and not met[0] & met[1]
+    assert len(met[0]) + len(met[1]) <= 40  # all pairs of copies would be 78
