@@ -51,10 +51,14 @@ def module_symbol(path: Column) -> Column:
 
 
 def _named(path: Column, found: Column) -> Column:
-    """found(kind, name, exported) as symbols; of those with one id the first stays."""
+    """found(kind, name, exported) as symbols; of those with one id the first stays.
+
+    What a lambda uses from outside is evaluated again for each element, so symbols and ids are bound to names first.
+    """
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     full = F.transform(found, lambda s: F.struct(F.concat(path, F.lit("#"), s["kind"], F.lit(":"), s["name"]).alias("id"), s["name"].alias("name"), s["kind"].alias("kind"), path.alias("path"), s["exported"].alias("exported")))
-    ids = F.transform(full, lambda s: s["id"])
-    return F.filter(full, lambda s, i: F.array_position(ids, s["id"]) == i + 1).cast(_SYMBOL)
+    firsts = lambda every, ids: F.filter(every, lambda s, i: F.array_position(ids, s["id"]) == i + 1)
+    return bound(full, lambda every: bound(F.transform(every, lambda s: s["id"]), lambda ids: firsts(every, ids))).cast(_SYMBOL)
 
 
 def is_script(path: Column) -> Column:

@@ -92,12 +92,12 @@ def intent(text: Column) -> Column:
 
 
 def query_terms(text: Column) -> Column:
-    words = F.split(F.lower(text), "[^a-z0-9]+")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS)))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    return F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))  # each word once, in their order
 
 
 def embedding_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def term_trigrams(terms: Column) -> Column:
