@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import ahocorasick
 import numpy as np
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import text as T
 from lodeweave.operators.graph import by_path
-from lodeweave.sources.shared import staged
+from lodeweave.sources.shared import batch_rows, staged
 
 #: Chunks of a block, and tasks of a pass.
 BLOCK, TASKS = 256, 2048
+#: Blocks that go to Python at once, and tokens whose terms a search remembers.
+BLOCKS_AT_ONCE, SEEN = 16, 1 << 16
 _META = ("id", "file_path", "kind", "start_line", "end_line", "token_estimate")
 _TYPES = ("string", "string", "string", "int", "int", "bigint")
 _INDEX = "repo_id string, place bigint, " + ", ".join(f"{n} array<{t}>" for n, t in zip(_META, _TYPES)) + ", norms array<bigint>, tokens array<string>, ends array<int>, holders array<int>, counts array<bigint>"
@@ -94,6 +96,7 @@ class _Asked:
         for word, k in self.term.items():
             self.within.add_word(word, k)
         self.within.make_automaton()
+        self.seen: dict[str, tuple[int, ...]] = {}
         self.boost = np.cumsum(np.concatenate([[0.0], np.full(max(len(r[2]) for r in rows), 0.1)]))
 
     @staticmethod
@@ -110,6 +113,15 @@ class _Asked:
                 asked[k][1].append(m)
         return number, [(np.array(t), np.array(m, float)) for t, m in asked]
 
+    def terms_in(self, token: str) -> tuple[int, ...]:
+        """Numbers of the terms that a token holds; of SEEN tokens it is remembered."""
+        found = self.seen.get(token)
+        if found is None:
+            if len(self.seen) >= SEEN:
+                self.seen.clear()
+            found = self.seen[token] = tuple({k for _, k in self.within.iter(token)})
+        return found
+
     def matrix(self, asked: list, numbers: list[int]) -> np.ndarray:
         """tasks x numbers: the weights of some of the words."""
         out = np.zeros((len(self.ids), len(numbers)))
@@ -142,16 +154,15 @@ class _Best:
 
 
 def _score(asked: _Asked, best: _Best, row: dict) -> None:
-    tokens, n = row["tokens"], len(row["norms"])
-    ends = np.asarray(row["ends"])
+    tokens, ends, holders, counts, norms = (row[c] for c in ("tokens", "ends", "holders", "counts", "norms"))
+    n = len(norms)
     begins = np.concatenate([[0], ends[:-1]])
-    holders, counts, norms = (np.asarray(row[c]) for c in ("holders", "counts", "norms"))
     places: dict[int, int] = {}
     held, dot = [], []
     grams, cross = [], []
     for t, token in enumerate(tokens):
         at = slice(begins[t], ends[t])
-        for k in {k for _, k in asked.within.iter(token)}:
+        for k in asked.terms_in(token):
             p = places.setdefault(k, len(places))
             if p == len(held):
                 held.append(np.zeros(n))
@@ -173,11 +184,17 @@ def _score(asked: _Asked, best: _Best, row: dict) -> None:
         best.add(tasks, cosine + asked.boost[(terms[tasks] @ held).astype(int)], row["place"] + np.arange(n))
 
 
+def _row(batch: pa.RecordBatch, at: int) -> dict:
+    """One block of a batch; its numbers stay arrays, as lists of Python's numbers would take many times the memory."""
+    listed = {c: batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in ("ends", "holders", "counts", "norms")}
+    return {"at": at, **{c: batch.column(c)[at].as_py() for c in ("repo_id", "place", "tokens")}, **listed}
+
+
 def _searcher(sent, limit: int, least: float, schema: pa.Schema):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[str, tuple[_Asked, _Best, dict]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in map(partial(_row, batch), range(batch.num_rows)):
                 if row["repo_id"] not in sent.value:
                     continue
                 if row["repo_id"] not in state:
@@ -185,7 +202,7 @@ def _searcher(sent, limit: int, least: float, schema: pa.Schema):
                     state[row["repo_id"]] = (own, _Best(len(own.ids), limit, least), {})
                 asked, best, kept = state[row["repo_id"]]
                 _score(asked, best, row)
-                kept[row["place"]] = [row[c] for c in _META]
+                kept[row["place"]] = [batch.column(c)[row["at"]].as_py() for c in _META]
                 if len(kept) % 64 == 0:  # keep what hits report of the blocks that still have one
                     live = np.unique(best.place[best.score > -np.inf])
                     begins = np.array(sorted(kept))
@@ -224,5 +241,6 @@ def best_chunks(analysis: DataFrame, index: DataFrame, limit: int, least: float)
         for r in asked.filter(F.pmod(F.xxhash64("task_id"), F.lit(passes)) == k).collect():  # about TASKS rows
             repos.setdefault(r.repo_id, []).append(tuple(r))
         sent = spark.sparkContext.broadcast(repos)
-        found.append(index.mapInArrow(_searcher(sent, limit, least, schema), columns))
+        with batch_rows(spark, BLOCKS_AT_ONCE):
+            found.append(staged(index.mapInArrow(_searcher(sent, limit, least, schema), columns)))  # planned here; a few rows for each task and partition
     return reduce(DataFrame.unionByName, found)

@@ -195,3 +195,36 @@ def test_dense_index_finds_what_all_pairs_find(spark, monkeypatch):
     assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got.collect()) == want
     assert report["scanned"]() < 0.6
     assert dense.nearest(vectors.limit(0), vectors, 8).count() == 0 and dense.nearest(vectors.filter("id = 0"), vectors.limit(0), 8).count() == 0
+
+
+def test_a_search_holds_few_blocks_and_no_lists_of_numbers(spark, monkeypatch):
+    rows = [(f"r{i}", f"a{i}#1-1", f"a{i}.md", "doc", 1, 1, 3, f"alpha beta w{i}") for i in range(40)]
+    chunks = spark.createDataFrame(rows, "repo_id string, id string, file_path string, kind string, start_line int, end_line int, token_estimate long, text string")
+    asked = spark.createDataFrame([(i, f"r{i}", ["alpha", "beta"]) for i in range(40)], "task_id long, repo_id string, terms array<string>")
+    blocks = topk.block_index(chunks).coalesce(1)
+    real, most = topk._searcher, topk.BLOCKS_AT_ONCE
+
+    def watched(*given):
+        search = real(*given)
+
+        def checked(batches):
+            def few():
+                for batch in batches:
+                    assert batch.num_rows <= most
+                    yield batch
+
+            return search(few())
+
+        return checked
+
+    monkeypatch.setattr(topk, "_searcher", watched)
+    assert topk.best_chunks(asked, blocks, 16, 0.18).count() == 40
+    batch = blocks.toArrow().to_batches()[0]
+    assert all(isinstance(topk._row(batch, 0)[c], np.ndarray) for c in ("ends", "holders", "counts", "norms"))
+
+
+def test_patterns_of_symbols_are_tried_once(spark):
+    files = spark.createDataFrame([("r", "a.py", 1, 1.0, "def a(): b()\nclass b\ndef a()")], "repo_id string, path string, size long, modified_at_ms double, content string")
+    found = index.file_records(files).select("symbols")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("def[") == 1
+    assert [s.name for s in found.first().symbols] == ["a.py", "b", "a"]
