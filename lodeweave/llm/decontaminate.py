@@ -7,9 +7,10 @@ are kept, so a window's counts are one difference: the entering shingles less th
 A fingerprint is a candidate if it differs from an item's in at most RADIUS bits. Multi-index blocks
 find them: fingerprints within RADIUS = 4 * 5 + 3 agree up to five bits in one of four blocks of 16,
 so a table of the values near each item's block says which windows may be close, and no pair within
-the radius is lost. A candidate must then hold enough shingles that occur in some item, which loses no
-pair at 0.8; its distance to each item is counted, and the exact similarity decides: the sum of minima
-over the sum of maxima of the shingles' numbers of occurrences (five words, 0.8).
+the radius is lost. Only windows with enough shingles that occur in some item are fingerprinted: the others
+can't be at 0.8 of any, so this order of the two tests changes no result. A candidate's distance to each item
+is counted, and the exact similarity decides: the sum of minima over the sum of maxima of the shingles' numbers
+of occurrences (five words, 0.8).
 
 With equal sizes a similarity of 0.8 turns about ten bits (sd 3), so 23 covers it; what the
 fingerprint of a pair at 0.8 or more lies beyond, the method doesn't see.
@@ -47,7 +48,9 @@ BLOCK_BYTES = 1 << 20
 #: Windows fingerprinted at once, and shingles of documents gathered for it.
 CHUNK = 1 << 13
 GATHERED = 1 << 16
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
+#: First bits of a shingle's hash that are looked up in a map of 1 MB before the hash itself.
+MAP_BITS = 20
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double, differing_bits int"
 _WORD = re.compile(r"[^\W_]+")
 _BLOCK = np.arange(1 << 16, dtype=np.uint16)
@@ -98,12 +101,17 @@ def bit_sums(codes: np.ndarray, most: int) -> np.ndarray:
     return sums
 
 
-def window_prints(sums: np.ndarray, n: int) -> np.ndarray:
-    """The fingerprint of each window of n codes, from bit_sums of at least that bound."""
-    counts = sums[n:] - sums[: len(sums) - n]
+def window_prints(sums: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The fingerprint of each window of n codes (at: of those that begin there), from bit_sums of at least that bound."""
+    counts = sums[n:] - sums[: len(sums) - n] if at is None else sums[at + n] - sums[at]
     return np.packbits((counts > sums.dtype.type(n // 2)).ravel(), bitorder="little").view("<u8")
 
 
+def possible_windows(runs: np.ndarray, n: int, least: float) -> np.ndarray:
+    """The starts of the windows of n shingles of which `least` at least are shingles of items; runs: how many such come before each place."""
+    return np.flatnonzero(runs[n:] - runs[: len(runs) - n] >= math.ceil(least - 1e-9))
+
+
 class _Group:
     """Items of one length: their fingerprints and which values of each block are near one of them."""
 
@@ -149,11 +157,22 @@ class Items:
             group.prints.append(int(window_prints(bit_sums(codes, len(codes)), len(codes))[0]))
             known.setdefault(size, []).append(codes)
         self.codes = {size: np.unique(np.concatenate(parts)) for size, parts in known.items()}
+        self.maps = {size: np.zeros(1 << MAP_BITS, bool) for size in self.codes}
+        for size, codes in self.codes.items():
+            self.maps[size][codes >> np.uint64(64 - MAP_BITS)] = True
         self.groups = {size: sorted((g for g in groups.values() if g.size == size), key=lambda g: g.words) for size in self.codes}
 
     def _hashed(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
 
+    def _known(self, codes: np.ndarray, size: int) -> np.ndarray:
+        """Whether each code is a shingle of some item: few pass the map by their first bits, those are looked up."""
+        found = self.maps[size].take((codes >> np.uint64(64 - MAP_BITS)).astype(np.intp))
+        some = np.flatnonzero(found)
+        at = np.searchsorted(self.codes[size], codes[some])
+        found[some] = self.codes[size].take(at, mode="clip") == codes[some]
+        return found
+
     def _gathered(self, texts: list[str | None], least: float, radius: int) -> list[list[tuple[int, int, int, float, int]]]:
         words = [words_of(t) for t in texts]
         hashed = [self._hashed(w) for w in words]
@@ -168,40 +187,30 @@ class Items:
         for size, groups in self.groups.items():
             own = [shingle_codes(h, size) for h in hashed]
             length = np.array([len(c) for c in own])
-            first = np.cumsum(length) - length
-            codes = np.concatenate(own)
-            if not len(codes):
-                continue
-            at = np.minimum(np.searchsorted(self.codes[size], codes), len(self.codes[size]) - 1)
-            runs = np.concatenate([[0], np.cumsum(self.codes[size][at] == codes)]).astype(np.int32)  # shingles of some item before each place
+            known = self._known(np.concatenate(own), size)
+            total = np.concatenate([[0], np.cumsum(known)])
+            stop = np.cumsum(length)
             most = max(g.n for g in groups)
-            for chunk in range(0, len(codes), CHUNK):
-                stop = min(len(codes), chunk + CHUNK)  # windows that begin before it
-                sums: dict[type, np.ndarray] = {}
-                for g in groups:
-                    if chunk + g.n > len(codes):
-                        break
-                    wide = g.n > 255
-                    if wide not in sums:
-                        sums[wide] = bit_sums(codes[chunk : stop + (most if wide else min(most, 255)) - 1], most if wide else 255)
-                    prints = window_prints(sums[wide][: stop - chunk + g.n], g.n)
-                    held = runs[chunk + g.n : chunk + g.n + len(prints)] - runs[chunk : chunk + len(prints)]
-                    some = np.flatnonzero(g.candidates(prints) & (held >= math.ceil(least * g.n - 1e-9)))
-                    for i, k, bits in g.within(prints[some], radius) if len(some) else ():
-                        at = chunk + int(some[i])
-                        doc = int(np.searchsorted(first, at, "right")) - 1
-                        if at - first[doc] + g.n <= length[doc]:  # within one document
-                            judge(g, k, doc, at - int(first[doc]), g.n, bits)
-            filled = np.flatnonzero((length > 0) & (length < most))
-            if len(filled):
-                n, begin = length[filled], first[filled]
-                hold = runs[begin + n] - runs[begin]
-                prints = np.concatenate([window_prints(bit_sums(own[d], len(own[d])), len(own[d])) for d in filled])
-                for g in groups:
-                    less = np.flatnonzero((n < g.n) & (n >= least * g.n - 1e-9))  # a shorter text can't be alike
-                    some = less[g.candidates(prints[less]) & (hold[less] >= least * g.n - 1e-9)]
-                    for i, k, bits in g.within(prints[some], radius) if len(some) else ():
-                        judge(g, k, int(filled[some[i]]), 0, int(n[some[i]]), bits)
+            held = total[stop] - total[stop - length]
+            for doc in np.flatnonzero((length > 0) & (held >= math.ceil(least * groups[0].n - 1e-9))).tolist():
+                codes, end = own[doc], int(stop[doc])
+                runs = total[end - len(codes) : end + 1]  # shingles of items before each place
+                for chunk in range(0, len(codes), CHUNK):  # windows that begin in it
+                    sums: dict[bool, np.ndarray] = {}
+                    for g in groups:
+                        n = min(g.n, len(codes))  # a shorter text is one window
+                        if chunk + n > len(codes):
+                            break
+                        at = possible_windows(runs[chunk : chunk + CHUNK + n], n, least * g.n)
+                        if not len(at):
+                            continue
+                        wide = n > 255
+                        if wide not in sums:
+                            sums[wide] = bit_sums(codes[chunk : chunk + CHUNK + (most if wide else min(most, 255)) - 1], most if wide else 255)
+                        prints = window_prints(sums[wide], n, at)
+                        near = np.flatnonzero(g.candidates(prints))
+                        for i, k, bits in g.within(prints[near], radius) if len(near) else ():
+                            judge(g, k, doc, chunk + int(at[near[i]]), n, bits)
         return [[(item, s, n, like, bits) for item, (like, s, n, bits) in sorted(b.items())] for b in best]
 
     def matches(self, texts, least: float = SIMILARITY, radius: int = RADIUS) -> Iterator[list[tuple[int, int, int, float, int]]]:
