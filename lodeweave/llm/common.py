@@ -10,7 +10,7 @@ from pyspark.sql.types import AtomicType
 
 from lodeweave.sources.shared import shared_dir, staged
 
-__all__ = ["crc_bucket", "folder_names", "join_often", "keep_ids", "kept_in_worker", "make_folder", "row_order", "shared_dir", "small_enough", "spread", "staged", "table", "text_of"]
+__all__ = ["crc_bucket", "folder_names", "join_often", "keep_ids", "kept_in_worker", "make_folder", "nothing_kept_in_worker", "row_order", "shared_dir", "small_enough", "spread", "staged", "table", "text_of"]
 
 #: A side is broadcast when rows times bytes a row stay under this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -89,6 +89,11 @@ def crc_bucket(column: str, modulus: int) -> Column:
 _KEPT: list = []
 
 
+def nothing_kept_in_worker() -> None:
+    """For what needs the memory and keeps nothing itself."""
+    _KEPT.clear()
+
+
 def kept_in_worker(source, make):
     """make(source), made once for each source. One thing at a time: a later stage's takes the place of an earlier one's."""
     if not _KEPT or _KEPT[0] is not source:

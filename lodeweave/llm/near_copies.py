@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import join_often, small_enough, staged
+from lodeweave.llm.common import join_often, nothing_kept_in_worker, small_enough, staged
 from lodeweave.llm.components import connected_components
 from lodeweave.llm.simhash import classes_of, close_links, first_of_each, majority, packed_rows, shingle_hashes
 from lodeweave.sources.shared import batch_rows
@@ -52,9 +52,9 @@ LEAST_BITS_N = 32
 LOW = np.uint64(48)
 LOW_BITS = np.uint64((1 << 48) - 1)
 #: The map of shared shingles (16 MB), and shingles that a task lists at once.
-MAP_BITS, LISTED = 27, 1 << 19
+MAP_BITS, LISTED = 27, 1 << 18
 #: Pairs that a task holds before it hands them on.
-HELD = 1 << 18
+HELD = 1 << 16
 #: Rows without texts that go to Python at once.
 NUMBERS_AT_ONCE = 10_000
 
@@ -70,6 +70,7 @@ def _set_of(text: str | None) -> np.ndarray:
 
 def _facts(texts: pa.Array) -> pa.Array:
     """A hash of each text's set, its SimHash and its size."""
+    nothing_kept_in_worker()  # an earlier stage's language model
     out = []
     for x in texts:
         own = _set_of(x.as_py())

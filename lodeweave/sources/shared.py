@@ -40,16 +40,27 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows that Spark hands to Python at once, and rows that its Parquet reader holds at once.
+ARROW_ROWS, READER_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Rows that Spark hands to Python at once: what is planned in between holds fewer texts in memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    with settings_kept(spark, ARROW_ROWS):
+        spark.conf.set(ARROW_ROWS, str(rows))
+        yield
+
+
+@contextmanager
+def settings_kept(spark: SparkSession, *names: str) -> Iterator[None]:
+    """Set these back at the end to what they were."""
+    before = {name: spark.conf.get(name) for name in names}
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def staged(df: DataFrame, partition_by: tuple[str, ...] = (), lasting: bool = False) -> DataFrame:

@@ -37,3 +37,18 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{d}/{t}.parquet").write.parquet(f"{d}/e/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{d}/e").count() == 0
+
+
+def test_stages_called_one_by_one_hold_few_texts_at_once(spark):
+    """Their results are planned by the caller, so what a stage sets must still hold then; a whole run leaves the session as it was."""
+    before = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.parquet.columnarReaderBatchSize": "4096"}
+    docs = table(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        for name, rows in before.items():
+            spark.conf.set(name, rows)
+        stage(spark, docs.limit(20), SF)
+        assert [int(spark.conf.get(name)) for name in before] == [1000, 512]
+    for name, rows in before.items():
+        spark.conf.set(name, rows)
+    corpus_pipeline.run(spark, SF)
+    assert {name: spark.conf.get(name) for name in before} == before
