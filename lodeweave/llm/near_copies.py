@@ -13,14 +13,19 @@ op8 cuts them.
    owners sorted lists of four bytes for a shingle and each of two size classes (texts at 0.8 share a class),
    and owners give back a bit map of fixed size of what two texts have. Only shingles of set bits become rows,
    so none that two texts of like size share is lost. Texts that share
-   a prefix shingle, are of like size, can still reach 0.8 from its places and aren't linked by step 1 are candidates.
-   All shingles that two prefixes share are counted (see _possible), and two texts that can't reach 0.8 by them are none.
+   a prefix shingle, are of like size, can still reach 0.8 from its places, whose sketches allow it and that aren't linked
+   by step 1 are candidates. A sketch has the parities of SKETCH cells of all of a text's shingles: two sketches differ in no
+   more bits than the texts have shingles apart, so the bound is exact. It says little of texts of over LONG shingles
+   together; those pairs meet by longer sketches first (_possible). A pair is looked at where the first of its two first
+   shingles that both have meet, not again for each shingle they share.
 3. The exact similarity decides on every candidate. (Their texts meet, as they pack better than eight bytes a shingle.)
    radius, if it is given, drops pairs of LEAST_BITS_N shingles or more whose SimHashes differ in more
    bits first: that can lose pairs (at 23 bits about one in 100,000 at 0.8), so nothing here gives it.
 
-Crowds: in a group of over STEPS texts each is compared with the next STEPS first; then only with
-those that these links do not connect it to. No pair of two components is left out.
+Crowds: in a group of over WHOLE texts each hands on one candidate, the nearest by sketch of the next STEPS, and of the next
+STEPS * STEPS where these links leave it apart. As each has one after it in the group, that connects copies of one text by as many
+pairs as there are texts. Then all texts of these groups that the links do not connect are compared with each other: by sketches
+in the task, so only pairs that may be close become rows. No pair of two components is left out.
 
 Shingles of all texts are cut again wherever they are needed: kept on disk they would take more than the texts.
 
@@ -47,7 +52,9 @@ from lodeweave.sources.shared import batch_rows
 
 WORDS = 5
 CELLS = 1 << 16
-STEPS = 32
+STEPS, WHOLE = 32, 4
+#: Bits of a sketch that goes with each shingle, and shingles of two texts beyond which it says little.
+SKETCH, LONG = 512, 1024
 LEAST_BITS_N = 32
 LOW = np.uint64(48)
 LOW_BITS = np.uint64((1 << 48) - 1)
@@ -68,6 +75,11 @@ def _set_of(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS))
 
 
+def _sketch(own: np.ndarray, bits: int) -> bytes:
+    """The parity of a set's hashes in each of `bits` cells; cells are low bits, so halves of a sketch xor to the next shorter one."""
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
 def _facts(texts: pa.Array) -> pa.Array:
     """A hash of each text's set, its SimHash and its size."""
     nothing_kept_in_worker()  # an earlier stage's language model
@@ -105,9 +117,8 @@ def cell_ranks(texts: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _prefix(text: str | None, ranks: np.ndarray) -> np.ndarray:
-    """The first shingles of a text in the order of all shingles; the low 48 bits are the hash's own."""
-    h = _set_of(text)
+def _prefix(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a text's set in the order of all shingles; the low 48 bits are the hash's own."""
     return np.sort(ranks[h >> LOW] << LOW | h & LOW_BITS)[: len(h) - (4 * len(h) + 4) // 5 + 1]
 
 
@@ -132,7 +143,7 @@ def _lists(ranks, bits: int):
         held, sizes, size = [], [], 0
         for batch in batches:
             for x, n in zip(batch.column("text"), batch.column("n").to_pylist()):
-                held.append(_prefix(x.as_py(), ranks.value))
+                held.append(_prefix(_set_of(x.as_py()), ranks.value))
                 sizes.append(n)
                 size += len(held[-1])
                 if size >= LISTED:
@@ -166,69 +177,85 @@ def shared_shingles(texts: DataFrame, ranks) -> np.ndarray:
     return found.ravel()
 
 
+_ROW = "token long, key long, bits long, n int, sketch binary, lead long, second long, place int"
+
+
 def _prefixes(ranks, shared):
+    """A row for each prefix shingle that others may share; lead, second: the text's first two of them (one alone: twice)."""
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, places = [], []
+            tokens, places, sketches, leads = [], [], [], []
             for x, n in zip(batch.column("text"), batch.column("n").to_pylist()):
-                own = _prefix(x.as_py(), ranks.value)
+                whole = _set_of(x.as_py())
+                own = _prefix(whole, ranks.value)
                 found = np.zeros(len(own), np.uint8)
                 for mixed in _mixed(own, n):
                     bit = mixed >> np.uint64(48 - MAP_BITS)
                     found |= shared.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
                 place = np.flatnonzero(found)
-                tokens.append(own[place])
+                tokens.append(own[place].view(np.int64))
                 places.append(place.astype(np.int32))
+                sketches.append(_sketch(whole, SKETCH) if len(place) else b"")
+                leads.append((tokens[-1][0], tokens[-1][min(1, len(place) - 1)]) if len(place) else (0, 0))
             if tokens:
-                length = [len(t) for t in tokens]
-                again = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), length) for c in ("key", "bits", "n")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(tokens).view(np.int64), *again, np.concatenate(places))], names=["token", "key", "bits", "n", "place"])
+                at = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+                again = [batch.column(c).take(pa.array(at)) for c in ("key", "bits", "n")] + [pa.array(sketches, pa.binary()).take(pa.array(at))]
+                lead, second = np.array(leads, np.int64)[at].T
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *again, pa.array(lead), pa.array(second), pa.array(np.concatenate(places))], names=["token", "key", "bits", "n", "sketch", "lead", "second", "place"])
 
     return prefixes
 
 
-_PAIRS = "a long, b long, shared long, rest long, most long, total long"
+_PAIRS = "a long, b long, total long"
 
 
-def _pairs(first: int, last: int | None, radius: int | None):
-    """Pairs of one group that are `first` to `last` rows apart, can be close and have different roots.
+def _pairs(steps: int | None, radius: int | None):
+    """Pairs of one group that can be close and have different roots, with the shingles of both texts.
 
-    shared: shingles of groups in which all rows meet; rest: the shingles that are left after this one in the text that has
-    fewer, most: those after the prefix in the text that has more, total: those of both texts.
+    steps: in groups of over WHOLE rows, each row's nearest of the next `steps`; none: all pairs.
     """
 
     def counted(found: list[np.ndarray]) -> pd.DataFrame:
-        a, b, shared, rest, most, total = np.concatenate(found, axis=1)
-        rows = pd.DataFrame({"a": a, "b": b, "shared": shared, "rest": rest, "most": most, "total": total})
-        return rows.groupby(["a", "b"], as_index=False, sort=False).agg({"shared": "sum", "rest": "min", "most": "first", "total": "first"})
+        return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b", "total"]).drop_duplicates(["a", "b"])
 
     def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        token, key, bits, n, place = (rows[c].to_numpy(np.int64) for c in ("token", "key", "bits", "n", "place"))
-        root = rows["root"].to_numpy(np.int64)
+        token, key, bits, n, place, root, lead, second = (rows[c].to_numpy(np.int64) for c in ("token", "key", "bits", "n", "place", "root", "lead", "second"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(-1, SKETCH // 64)
         _, group, size = np.unique(token, return_inverse=True, return_counts=True)
-        whole = (size <= (last or 0) + 1)[group].astype(np.int64)
-        at, step, found, held = np.arange(len(rows)), first, [], 0
-        while last is None or step <= last:
+        whole = np.ones(len(rows), bool) if steps is None else (size <= _whole(steps))[group]
+        nearest, least = np.full(len(rows), -1), np.full(len(rows), SKETCH + 1)
+        rows_of = lambda x, y: np.array([np.minimum(key[x], key[y]), np.maximum(key[x], key[y]), n[x] + n[y]])
+        at, step, found, held = np.arange(len(rows)), 1, [], 0
+        while steps is None or step <= steps:
             at = at[at + step < len(rows)]
             to = at + step
             at = at[(token[at] == token[to]) & (5 * n[at] >= 4 * n[to])]  # sizes rise in a group
             if not len(at):
                 break
-            to = at + step
-            most = np.minimum(place[at], place[to]) + 1 + np.minimum(n[at] - place[at], n[to] - place[to]) - 1
-            ok = _close(most, n[at], n[to]) & (root[at] != root[to])
+            x = at[root[at] != root[at + step]]
+            y = x + step
+            most = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
+            # the first of either's first two shingles that both have: there they meet
+            first = np.where((lead[x] == lead[y]) | (lead[x] == second[y]), lead[x], np.where((second[x] == lead[y]) | (second[x] == second[y]), second[x], token[x]))
+            ok = _close(most, n[x], n[y]) & (first == token[x])
             if radius is not None:
-                ok &= (n[at] < LEAST_BITS_N) | (np.bitwise_count((bits[at] ^ bits[to]).view(np.uint64)) <= radius)
-            x, y = at[ok], to[ok]
-            rest = np.minimum(n[x] - place[x], n[y] - place[y]) - 1
-            found.append(np.array([np.minimum(key[x], key[y]), np.maximum(key[x], key[y]), whole[x], rest, (4 * np.maximum(n[x], n[y]) + 4) // 5 - 1, n[x] + n[y]]))
-            held += len(x)
+                ok &= (n[x] < LEAST_BITS_N) | (np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)) <= radius)
+            x, y = x[ok], y[ok]
+            apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+            ok = _near(apart, n[x] + n[y])
+            x, y, apart = x[ok], y[ok], apart[ok]
+            found.append(rows_of(x[whole[x]], y[whole[x]]))
+            held += found[-1].shape[1]
+            better = ~whole[x] & (apart < least[x])
+            nearest[x[better]], least[x[better]] = y[better], apart[better]
             if held > HELD:
                 yield counted(found)
                 found, held = [], 0
             step += 1
-        if held:
-            yield counted(found)
+        x = np.flatnonzero(nearest >= 0)
+        if held or len(x):
+            yield counted([*found, rows_of(x, nearest[x])])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups come sorted; the last group of a batch may go on in the next one."""
@@ -247,28 +274,56 @@ def _pairs(first: int, last: int | None, radius: int | None):
     return find
 
 
-def _found(rows: DataFrame, first: int, last: int | None, radius: int | None) -> DataFrame:
+def _whole(steps: int) -> int:
+    """Rows of a group in which all pairs are looked at first."""
+    return min(WHOLE, steps + 1)
+
+
+def _near(apart, total):
+    """0.8 by the shingles that one of two texts has alone, or fewer: (total - apart) / 2 shared ones are close."""
+    return 9 * apart <= total
+
+
+def _found(rows: DataFrame, steps: int | None, radius: int | None) -> DataFrame:
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "key")
     with batch_rows(rows.sparkSession, NUMBERS_AT_ONCE):
-        found = dealt.mapInPandas(_pairs(first, last, radius), _PAIRS).groupBy("a", "b")
-        return staged(found.agg(F.sum("shared").alias("shared"), F.min("rest").alias("rest"), F.first("most").alias("most"), F.first("total").alias("total")))
+        return staged(dealt.mapInPandas(_pairs(steps, radius), _PAIRS).groupBy("a", "b").agg(F.first("total").alias("total")))
+
 
+def _long_sketches(texts: pa.Array) -> pa.Array:
+    """Sketches of two to four bits a shingle."""
+    out = []
+    for x in texts:
+        own = _set_of(x.as_py())
+        out.append(_sketch(own, max(SKETCH, 2 << len(own).bit_length())))
+    return pa.array(out, pa.binary())
 
-def _possible(pairs: DataFrame, crowd: DataFrame | None) -> DataFrame:
-    """(a, b) of the pairs that can be close by what their prefixes share; crowd: the rows of groups in which not all rows meet.
 
-    Up to any shared shingle, two texts share those of small groups, which are counted, and of crowds as many as either has;
-    after it, the rest at most. Nor is a shingle shared beyond the earlier of two prefixes' ends but by the texts' shingles after it.
-    """
-    among = F.lit(0)
-    if crowd is not None:
-        counts = staged(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("h")))
-        if small_enough(counts.count(), 16):
-            counts = F.broadcast(counts)
-        for end in ("a", "b"):
-            pairs = pairs.join(counts.select(F.col("key").alias(end), F.col("h").alias(f"h_{end}")), end, "left")
-        among = F.least(F.coalesce("h_a", F.lit(0)), F.coalesce("h_b", F.lit(0)))
-    return pairs.filter(_close(F.col("shared") + among + F.least("rest", "most"), F.col("total"), 0)).select("a", "b")
+def _allowed(a: pa.Array, b: pa.Array, total: pa.Array) -> pa.Array:
+    out = []
+    for x, y, n in zip(a, b, total):
+        x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+        size = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+        out.append(bool(_near(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)), n.as_py())))
+    return pa.array(out, pa.bool_())
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """key and text of both ends of the pairs."""
+    keys = staged(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    return texts.join(F.broadcast(keys) if small_enough(keys.count(), 24) else keys, "key", "left_semi").select("key", "text")
+
+
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that can be close: long texts by longer sketches."""
+    long = pairs.filter(F.col("total") > LONG)
+    if long.isEmpty():
+        return pairs.select("a", "b")
+    own = staged(_texts_of(long, texts).select("key", F.arrow_udf(_long_sketches, "binary")("text").alias("sketch")))
+    one, other = own.select(F.col("key").alias("a"), F.col("sketch").alias("x")), own.select(F.col("key").alias("b"), F.col("sketch").alias("y"))
+    long = long.join(one, "a").join(other, "b").filter(F.arrow_udf(_allowed, "boolean")("x", "y", "total"))
+    return staged(pairs.filter(F.col("total") <= LONG).select("a", "b").unionByName(long.select("a", "b")))
 
 
 def simhash_pairs(texts: DataFrame) -> DataFrame:
@@ -300,8 +355,7 @@ def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets are close."""
-    keys = staged(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    own = staged(texts.join(F.broadcast(keys) if small_enough(keys.count(), 24) else keys, "key", "left_semi").select("key", "text"))
+    own = staged(_texts_of(pairs, texts))
     one, other = own.select(F.col("key").alias("a"), F.col("text").alias("x")), own.select(F.col("key").alias("b"), F.col("text").alias("y"))
     return staged(pairs.join(one, "a").join(other, "b").filter(F.arrow_udf(_similar, "boolean")("x", "y")).select("a", "b"))
 
@@ -311,19 +365,22 @@ def similar_links(texts: DataFrame, steps: int = STEPS, radius: int | None = Non
     send = texts.sparkSession.sparkContext.broadcast
     ranks = send(cell_ranks(texts))
     shared = send(shared_shingles(texts, ranks))
-    schema = "token long, key long, bits long, n int, place int"
-    rows = staged(texts.filter("n > 0").select("key", "text", "bits", "n").mapInArrow(_prefixes(ranks, shared), schema))
+    rows = staged(texts.filter("n > 0").select("key", "text", "bits", "n").mapInArrow(_prefixes(ranks, shared), _ROW))
     links = _verified(simhash_pairs(texts), texts)
-    heavy = staged(rows.groupBy("token").count().filter(F.col("count") > steps + 1).select("token"))
+    tried = _found(_rooted(rows, links), steps, radius)
+    links = links.unionByName(_verified(_possible(tried, texts), texts))
+    heavy = staged(rows.groupBy("token").count().filter(F.col("count") > _whole(steps)).select("token"))
     many = heavy.count()
-    crowd = staged(rows.join(F.broadcast(heavy) if small_enough(many, 16) else heavy, "token", "left_semi")) if many else None
-    links = links.unionByName(_verified(_possible(_found(_rooted(rows, links), 1, steps, radius), crowd), texts))
     if not many:
         return links
-    crowd = staged(_rooted(crowd, links))
-    mixed = crowd.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    more = _verified(_found(crowd.join(mixed, "token", "left_semi"), steps + 1, None, radius).select("a", "b"), texts)
-    return links.unionByName(more)
+    crowd = staged(rows.join(F.broadcast(heavy) if small_enough(many, 16) else heavy, "token", "left_semi"))
+    for further in (steps * steps, None):
+        rooted = staged(_rooted(crowd, links))
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+        more = staged(_found(rooted.join(mixed, "token", "left_semi"), further, radius).join(tried, ["a", "b"], "left_anti"))
+        links = links.unionByName(_verified(_possible(more, texts), texts))
+        tried = tried.unionByName(more)
+    return links
 
 
 def one_of_each(docs: DataFrame, steps: int = STEPS, radius: int | None = None) -> DataFrame:

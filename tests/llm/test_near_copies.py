@@ -79,3 +79,50 @@ def test_simhash_links_and_what_it_connects_is_not_met_again(spark, monkeypatch)
     assert sorted(str(r.doc_id) for r in got.collect()) == kept(rows)
     assert met[0] and not met[0] & met[1]
     assert len(met[0]) + len(met[1]) <= 40  # all pairs of copies would be 78
+
+
+def made_by_pairs(spark, monkeypatch, rows):
+    """What the stage keeps, and the rows of pairs that its tasks make."""
+    made, docs = [], spark.createDataFrame(rows, "doc_id long, text string")
+    own = type(docs).mapInPandas
+
+    def counting(df, func, schema, *more):
+        out = own(df, func, schema, *more)
+        if schema.startswith("a long, b long, "):
+            made.append(out.count())
+        return out
+
+    with monkeypatch.context() as here:
+        here.setattr(type(docs), "mapInPandas", counting)
+        got = sorted(str(r.doc_id) for r in near_copies.one_of_each(docs).collect())
+    return got, sum(made)
+
+
+def test_pairs_made_do_not_grow_with_the_square_of_a_crowd(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+
+    def copies(n):
+        out = []
+        for d in range(n):
+            own = list(base)
+            for _ in range(rng.randint(1, 3)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            out.append((d, " ".join(own)))
+        return out
+
+    for n in (100, 400):
+        rows = copies(n)
+        got, made = made_by_pairs(spark, monkeypatch, rows)
+        assert got == kept(rows)
+        assert made <= 10 * n, (n, made)
+
+
+def test_long_texts_that_share_a_passage_are_not_all_verified(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, texts, own=near_copies._verified: met.append(pairs.count()) or own(pairs, texts))
+    passage = [f"w{i}" for i in range(2000)]
+    rows = [(d, " ".join(passage + [f"v{d}x{i}" for i in range(900)])) for d in range(12)] + [(100 + d, " ".join(passage + [f"u{d}x{i}" for i in range(60)])) for d in range(12)]
+    got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(str(r.doc_id) for r in got.collect()) == kept(rows) == sorted([*map(str, range(12)), "100"])
+    assert sum(met) <= 40  # all pairs would be 276
