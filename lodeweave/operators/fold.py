@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from lodeweave.operators import pack, retrieve, sessions
 from lodeweave.operators.graph import by_path
-from lodeweave.sources.shared import staged
+from lodeweave.sources.shared import batch_rows, staged
 
+#: Tasks that go to Python at once: each has a few dozen candidates with their costs, many times as large there.
+TASKS_AT_ONCE = 64
 _COST = ("found", "raw_preferred", "bucket", "raw_tokens", "summary_tokens")
 
 
@@ -114,4 +116,5 @@ def fed(tasks: DataFrame, best: DataFrame, log: DataFrame, facts: DataFrame, lis
     )
     ordered = rows.unionByName(old).repartition("repo_id").sortWithinPartitions("repo_id", "kind", "seq", "task_id")
     kind = tasks.schema["task_id"].dataType.simpleString()
-    return staged(ordered.mapInPandas(_folder(pack.budget_caps(budget)), f"task_id {kind}, memory array<string>, lines array<string>"))
+    with batch_rows(tasks.sparkSession, TASKS_AT_ONCE):
+        return staged(ordered.mapInPandas(_folder(pack.budget_caps(budget)), f"task_id {kind}, memory array<string>, lines array<string>"))

@@ -30,7 +30,8 @@ def describe(ranked: DataFrame, files: DataFrame) -> DataFrame:
     A column `own_summary` in ranked, from a provider, takes the place of the built summary.
     """
     own = F.col("own_summary") if "own_summary" in ranked.columns else F.lit(None).cast("string")
-    have = files.select("repo_id", "path", "content", "imports", T.preserved_interfaces(F.col("symbols")).alias("api"), F.lit(True).alias("found"))
+    #: Tokens are counted before the join: what asks for costs alone then shuffles no contents.
+    have = files.select("repo_id", "path", "content", "imports", T.preserved_interfaces(F.col("symbols")).alias("api"), T.token_estimate(F.col("content")).alias("raw_tokens"), F.lit(True).alias("found"))
     x = ranked.join(have, ["repo_id", "path"], "left").withColumn("notes", _notes(F.col("imports")))
     has_api, names = F.size("api") > 0, F.array_join("api", ", ")
     #: The wording of raw items and summaries.
@@ -52,7 +53,7 @@ def describe(ranked: DataFrame, files: DataFrame) -> DataFrame:
     return x.select(
         *[c for c in ranked.columns if c != "own_summary"], F.coalesce("found", F.lit(False)).alias("found"), "content", "api", "notes",
         purpose.alias("summary_purpose"), kept.alias("summary_invariant"), summary.alias("summary_text"), T.token_estimate(summary).alias("summary_tokens"),
-        raw_purpose.alias("raw_purpose"), raw_kept.alias("raw_invariant"), F.concat(raw_purpose, F.lit(" Reason: "), "reason").alias("raw_text"), T.token_estimate(F.col("content")).alias("raw_tokens"),
+        raw_purpose.alias("raw_purpose"), raw_kept.alias("raw_invariant"), F.concat(raw_purpose, F.lit(" Reason: "), "reason").alias("raw_text"), "raw_tokens",
         T.keep_raw(F.col("role"), F.col("score")).alias("raw_preferred"), T.bucket(F.col("role")).alias("bucket"),
     )
 

@@ -29,8 +29,8 @@ from lodeweave.sources.shared import batch_rows, staged
 
 #: Chunks of a block, and tasks of a pass.
 BLOCK, TASKS = 256, 2048
-#: Blocks that go to Python at once, and tokens whose terms a search remembers.
-BLOCKS_AT_ONCE, SEEN = 16, 1 << 16
+#: Blocks that Spark reads and hands to Python at once, blocks made at once, tasks scored at once, and tokens whose terms a search remembers.
+BLOCKS_AT_ONCE, BLOCKS_MADE, TASKS_AT_ONCE, SEEN = 16, 4, 256, 1 << 16
 _META = ("id", "file_path", "kind", "start_line", "end_line", "token_estimate")
 _TYPES = ("string", "string", "string", "int", "int", "bigint")
 _INDEX = "repo_id string, place bigint, " + ", ".join(f"{n} array<{t}>" for n, t in zip(_META, _TYPES)) + ", norms array<bigint>, tokens array<string>, ends array<int>, holders array<int>, counts array<bigint>"
@@ -72,13 +72,35 @@ def _blocks(schema: pa.Schema):
 def block_index(chunks: DataFrame) -> DataFrame:
     """The index of chunks(repo_id, id, file_path, kind, start_line, end_line, token_estimate, text), in the order of paths and lines."""
     names = F.filter(F.split(F.lower("file_path"), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
-    own = chunks.select("repo_id", *_META, T.embedding_tokens(F.col("text")).alias("words"), names.alias("names"))
     order = ("repo_id", by_path("file_path"), "start_line", "id")
-    placed = own.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    placed = chunks.select("repo_id", *_META, "text").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    own = placed.select("repo_id", "place", *_META, T.embedding_tokens(F.col("text")).alias("words"), names.alias("names"))  # after the sort: words take several times the memory of their text
     list_of = lambda t: pa.list_(t)
     of = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
     schema = pa.schema([("repo_id", pa.string()), ("place", pa.int64()), *[(n, list_of(of[t])) for n, t in zip(_META, _TYPES)], ("norms", list_of(pa.int64())), ("tokens", list_of(pa.string())), ("ends", list_of(pa.int32())), ("holders", list_of(pa.int32())), ("counts", list_of(pa.int64()))])
-    return staged(placed.mapInArrow(_blocks(schema), _INDEX))
+    with batch_rows(chunks.sparkSession, BLOCK * BLOCKS_MADE):
+        return staged(own.mapInArrow(_blocks(schema), _INDEX))
+
+
+class _Words:
+    """Numbers of the words that tasks ask for, and which task asks for which, with a weight."""
+
+    def __init__(self, words: list[dict]):
+        self.number: dict[str, int] = {}
+        self.begins = np.concatenate([[0], np.cumsum([len(own) for own in words])]).astype(int)
+        self.asked = np.array([self.number.setdefault(w, len(self.number)) for own in words for w in own], int)
+        self.weight = np.array([m for own in words for m in own.values()], float)
+
+    def matrix(self, begin: int, end: int, numbers: list[int]) -> np.ndarray:
+        """Tasks begin to end x numbers: the weights of some of the words."""
+        column = np.full(len(self.number), -1)
+        column[numbers] = np.arange(len(numbers))
+        own = slice(self.begins[begin], self.begins[end])
+        at = column[self.asked[own]]
+        task = np.repeat(np.arange(end - begin), np.diff(self.begins[begin : end + 1]))
+        out = np.zeros((end - begin, len(numbers)))
+        out[task[at >= 0], at[at >= 0]] = self.weight[own][at >= 0]
+        return out
 
 
 class _Asked:
@@ -90,29 +112,14 @@ class _Asked:
         self.root = np.sqrt(np.array([len(r[2]) for r in rows], float))
         self.gram_norm = np.array([sum(m * m for m in g.values()) for g in grams], float)
         self.dot_grams = np.array([sum(g[w] for w in r[2]) for r, g in zip(rows, grams)], float)
-        self.term, self.terms = self._by_word([dict.fromkeys(r[2], 1) for r in rows])
-        self.gram, self.grams = self._by_word(grams)
+        self.terms, self.grams = _Words([dict.fromkeys(r[2], 1) for r in rows]), _Words(grams)
         self.within = ahocorasick.Automaton()
-        for word, k in self.term.items():
+        for word, k in self.terms.number.items():
             self.within.add_word(word, k)
         self.within.make_automaton()
         self.seen: dict[str, tuple[int, ...]] = {}
         self.boost = np.cumsum(np.concatenate([[0.0], np.full(max(len(r[2]) for r in rows), 0.1)]))
 
-    @staticmethod
-    def _by_word(words: list[dict]) -> tuple[dict, list]:
-        """Numbers of the words, and for each the tasks that ask for it, with a weight."""
-        number: dict[str, int] = {}
-        asked: list[tuple[list[int], list[int]]] = []
-        for t, own in enumerate(words):
-            for w, m in own.items():
-                k = number.setdefault(w, len(number))
-                if k == len(asked):
-                    asked.append(([], []))
-                asked[k][0].append(t)
-                asked[k][1].append(m)
-        return number, [(np.array(t), np.array(m, float)) for t, m in asked]
-
     def terms_in(self, token: str) -> tuple[int, ...]:
         """Numbers of the terms that a token holds; of SEEN tokens it is remembered."""
         found = self.seen.get(token)
@@ -122,14 +129,6 @@ class _Asked:
             found = self.seen[token] = tuple({k for _, k in self.within.iter(token)})
         return found
 
-    def matrix(self, asked: list, numbers: list[int]) -> np.ndarray:
-        """tasks x numbers: the weights of some of the words."""
-        out = np.zeros((len(self.ids), len(numbers)))
-        for k, number in enumerate(numbers):
-            tasks, weights = asked[number]
-            out[tasks, k] = weights
-        return out
-
 
 class _Best:
     """The first `limit` chunks of each task so far: larger scores first, of equal ones the earlier place."""
@@ -168,20 +167,25 @@ def _score(asked: _Asked, best: _Best, row: dict) -> None:
                 held.append(np.zeros(n))
                 dot.append(np.zeros(n))
             held[p][holders[at]] = 1
-        if token in asked.term:
-            dot[places[asked.term[token]]][holders[at]] = counts[at]
-        if token in asked.gram:
-            grams.append(asked.gram[token])
+        if token in asked.terms.number:
+            dot[places[asked.terms.number[token]]][holders[at]] = counts[at]
+        if token in asked.grams.number:
+            grams.append(asked.grams.number[token])
             cross.append(np.zeros(n))
             cross[-1][holders[at]] = counts[at]
-    terms = asked.matrix(asked.terms, list(places))
-    held, dot = np.array(held).reshape(-1, n), np.array(dot).reshape(-1, n)
-    most = (terms @ dot.max(axis=1, initial=0) + asked.dot_grams) / (asked.root * np.sqrt(norms.min() + asked.gram_norm)) + asked.boost[(terms @ held.max(axis=1, initial=0)).astype(int)]
-    tasks = np.flatnonzero(best.possible(slice(None), most[:, None]))
-    if len(tasks):
-        norm = norms[None, :] + asked.gram_norm[tasks, None] + 2 * (asked.matrix(asked.grams, grams)[tasks] @ np.array(cross).reshape(-1, n))
-        cosine = (terms[tasks] @ dot + asked.dot_grams[tasks, None]) / (asked.root[tasks, None] * np.sqrt(norm))
-        best.add(tasks, cosine + asked.boost[(terms[tasks] @ held).astype(int)], row["place"] + np.arange(n))
+    held, dot, cross = (np.array(x).reshape(-1, n) for x in (held, dot, cross))
+    most_held, most_dot, least_norm = held.max(axis=1, initial=0), dot.max(axis=1, initial=0), norms.min()
+    for begin in range(0, len(asked.ids), TASKS_AT_ONCE):
+        end = min(begin + TASKS_AT_ONCE, len(asked.ids))
+        root, gram_norm, dot_grams = (x[begin:end] for x in (asked.root, asked.gram_norm, asked.dot_grams))
+        terms = asked.terms.matrix(begin, end, list(places))
+        most = (terms @ most_dot + dot_grams) / (root * np.sqrt(least_norm + gram_norm)) + asked.boost[(terms @ most_held).astype(int)]
+        some = np.flatnonzero(best.possible(slice(begin, end), most[:, None]))
+        if len(some):
+            own = terms[some]
+            norm = norms[None, :] + gram_norm[some, None] + 2 * (asked.grams.matrix(begin, end, grams)[some] @ cross)
+            cosine = (own @ dot + dot_grams[some, None]) / (root[some, None] * np.sqrt(norm))
+            best.add(begin + some, cosine + asked.boost[(own @ held).astype(int)], row["place"] + np.arange(n))
 
 
 def _row(batch: pa.RecordBatch, at: int) -> dict:
@@ -202,7 +206,7 @@ def _searcher(sent, limit: int, least: float, schema: pa.Schema):
                     state[row["repo_id"]] = (own, _Best(len(own.ids), limit, least), {})
                 asked, best, kept = state[row["repo_id"]]
                 _score(asked, best, row)
-                kept[row["place"]] = [batch.column(c)[row["at"]].as_py() for c in _META]
+                kept[row["place"]] = [values.take(pa.array(range(len(values)))) for values in (batch.column(c)[row["at"]].values for c in _META)]  # copies: the batch goes
                 if len(kept) % 64 == 0:  # keep what hits report of the blocks that still have one
                     live = np.unique(best.place[best.score > -np.inf])
                     begins = np.array(sorted(kept))
@@ -214,7 +218,7 @@ def _searcher(sent, limit: int, least: float, schema: pa.Schema):
             for t, k in zip(*np.nonzero(best.score > -np.inf)):
                 place = int(best.place[t, k])
                 begin = int(begins[np.searchsorted(begins, place, side="right") - 1])
-                found.append((asked.ids[t], repo, float(best.score[t, k]), place, *[m[place - begin] for m in kept[begin]]))
+                found.append((asked.ids[t], repo, float(best.score[t, k]), place, *[m[place - begin].as_py() for m in kept[begin]]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
 
@@ -241,6 +245,6 @@ def best_chunks(analysis: DataFrame, index: DataFrame, limit: int, least: float)
         for r in asked.filter(F.pmod(F.xxhash64("task_id"), F.lit(passes)) == k).collect():  # about TASKS rows
             repos.setdefault(r.repo_id, []).append(tuple(r))
         sent = spark.sparkContext.broadcast(repos)
-        with batch_rows(spark, BLOCKS_AT_ONCE):
+        with batch_rows(spark, BLOCKS_AT_ONCE, BLOCKS_AT_ONCE):
             found.append(staged(index.mapInArrow(_searcher(sent, limit, least, schema), columns)))  # planned here; a few rows for each task and partition
     return reduce(DataFrame.unionByName, found)

@@ -45,10 +45,12 @@ ARROW_ROWS, READER_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows that Spark hands to Python at once: what is planned in between holds fewer texts in memory."""
-    with settings_kept(spark, ARROW_ROWS):
+def batch_rows(spark: SparkSession, rows: int, read: int | None = None) -> Iterator[None]:
+    """Rows that Spark hands to Python at once, and those it reads at once: what is planned in between holds fewer texts in memory."""
+    with settings_kept(spark, ARROW_ROWS, READER_ROWS):
         spark.conf.set(ARROW_ROWS, str(rows))
+        if read:
+            spark.conf.set(READER_ROWS, str(read))
         yield
 
 

@@ -1,4 +1,4 @@
-"""Where indexes and logs live: Parquet tables under one directory, JSON documents, or memory."""
+"""Where indexes and logs live: Parquet tables under one directory, JSON documents, or tables of one session."""
 
 from __future__ import annotations
 
@@ -56,6 +56,8 @@ class ParquetStore:
 
 
 class MemoryStore:
+    """The index of one session, as tables in the shared folder: an index has all texts twice, and persisted ones would fill the executors' memory as it grows."""
+
     def __init__(self):
         self.index: Index | None = None
 
@@ -63,7 +65,7 @@ class MemoryStore:
         return self.index
 
     def write(self, index: Index) -> Index:
-        self.index = Index(index.files.persist(), index.chunks.persist(), index.edges.persist())
+        self.index = Index(staged(index.files), staged(index.chunks), staged(index.edges))
         return self.index
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeweave import schemas
 from lodeweave.operators import compile as C
-from lodeweave.operators import graph, index, pack, retrieve, sessions
+from lodeweave.operators import fold, graph, index, pack, retrieve, sessions
 from lodeweave.plans import cli
 from lodeweave.plans.engine import Engine, Providers
 from lodeweave.sources.repository import contents_of, read_repository
@@ -353,6 +353,45 @@ def test_a_sequence_is_what_tasks_in_order_are(spark, tree):
     assert "- before [docs/auth.md, src/crypto.ts, left.ts]" in done[1][0][0][1]
 
 
+def test_an_index_of_a_session_takes_no_memory_of_executors(spark, tree):
+    e = Engine(spark)
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    made = e.index_repository(tree, "r")
+    assert made.files.count() and made.chunks.count() and made.edges.count()
+    assert not any(t.storageLevel.useMemory for t in (made.files, made.chunks, made.edges))
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_a_sequence_looks_at_a_few_tasks_at_once(spark, tree, monkeypatch):
+    texts = ["fix login hash", "session docs", "crypto", "login", "auth session", "hash"]
+    tasks = spark.createDataFrame([(f"t{i}", "r", text, "codex", [], []) for i, text in enumerate(texts)], schemas.TASKS)
+    folder = fold._folder
+
+    def watched(caps):
+        own = folder(caps)
+
+        def few(batches):
+            def told(rows):
+                for x in rows:
+                    if len(x) > 2:
+                        raise ValueError(f"{len(x)} tasks at once")
+                    yield x
+
+            return own(told(batches))
+
+        return few
+
+    done = []
+    for some in (False, True):
+        if some:
+            monkeypatch.setattr(fold, "TASKS_AT_ONCE", 2)
+            monkeypatch.setattr(fold, "_folder", watched)
+        e = Engine(spark, budget={"max": 240})
+        e.index_repository(tree, "r")
+        done.append(sorted(map(tuple, e.compile_sequence(tasks).prompts.select("task_id", "prompt", "included_files").collect())))
+    assert done[0] == done[1] and len(done[0]) == 6
+
+
 def test_session_rules(spark):
     log = spark.createDataFrame([("r", i, f"text{i}", [f"f{i}", "same", f"g{i}"]) for i in range(1, 30)] + [("q", 1, "t", [])], "repo_id string, seq long, text string, selected_files array<string>")
     assert [r.seq for r in sessions.recent_sessions(log).filter("repo_id = 'r'").orderBy("recency").collect()] == [29, 28, 27]

@@ -57,6 +57,35 @@ def test_block_index_finds_what_all_pairs_find(spark, monkeypatch):
     assert parts <= 16
 
 
+def test_a_search_in_slices_of_tasks_and_small_reads_finds_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    chunks = [("r", f"c{i}", f"src/{rng.choice(WORDS)}{i:03d}.ts", "code", 1, 2, 3, " ".join(rng.choices(WORDS, k=rng.randint(0, 9)))) for i in range(90)]
+    tasks = [(f"t{i}", "r", " ".join(rng.choices(WORDS, k=rng.randint(1, 6))), "codex", [], []) for i in range(23)]
+    for name, value in (("BLOCK", 8), ("BLOCKS_MADE", 1), ("BLOCKS_AT_ONCE", 2), ("TASKS_AT_ONCE", 5)):
+        monkeypatch.setattr(topk, name, value)
+    made = topk._blocks
+
+    def watched(schema):
+        blocks = made(schema)
+
+        def small(batches):
+            def told(rows):
+                for x in rows:
+                    if x.num_rows > 8:
+                        raise ValueError(f"{x.num_rows} chunks at once")
+                    yield x
+
+            return blocks(told(batches))
+
+        return small
+
+    monkeypatch.setattr(topk, "_blocks", watched)
+    got = {}
+    for r in retrieve.semantic_chunks(retrieve.analyzed(spark.createDataFrame(tasks, schemas.TASKS)), spark.createDataFrame(chunks, schemas.CHUNKS)).collect():
+        got.setdefault(r.task_id, []).append((r["rank"], r.id))
+    assert {t: [c for _, c in sorted(x)] for t, x in got.items()} == naive(tasks, chunks)
+
+
 def test_holders_are_the_tokens_that_contain_a_term(spark):
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("abc1") for _ in range(n))
